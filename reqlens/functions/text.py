@@ -182,15 +182,18 @@ def tokens_expr(c: Column, lowercase: bool = True, strip_accents: bool = True) -
 
 
 def ngrams_expr(tok: Column, ngram_range=(1, 1)) -> Column:
-    """Word n-grams joined by one space: all n in range, over the token list."""
+    """Word n-grams joined by one space: all n in range, over the token list.
+    Built with ``zip_with`` over shifted slices, so no lambda re-evaluates
+    ``tok``; pass a column reference, not an expression."""
     lo, hi = ngram_range
-    parts = []
     size = F.size(tok)
-    for n in range(lo, hi + 1):
-        if n == 1:
-            parts.append(tok)
-            continue
-        grams = F.transform(F.sequence(F.lit(0), size - n),
-                            lambda i, n=n: F.concat_ws(" ", F.slice(tok, i + 1, n)))
-        parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
+    parts = []
+    prev = tok
+    for n in range(1, hi + 1):
+        if n > 1:
+            m = F.greatest(size - (n - 1), F.lit(0))
+            prev = F.zip_with(F.slice(prev, 1, m), F.slice(tok, n, m),
+                              lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= lo:
+            parts.append(prev)
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -333,3 +333,254 @@ SELECT text, CAST(NULL AS INTEGER) AS page, section, block_type, source, doc_id,
 FROM s_raw WHERE length(text) >= 15 AND regexp_matches(text, '[a-zA-Z]')""")
 def q_md_records(spark, sf_dir):
     return X.records(md_body(spark, sf_dir), ["doc_id"], F.col("source"))
+
+
+# --------------------------------------------------------------------------- #
+# TF-IDF (V1–V8) over documents
+# --------------------------------------------------------------------------- #
+from ..operators import evaluate as E  # noqa: E402
+from ..operators import models as M  # noqa: E402
+from ..operators import tfidf as T  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
+
+# Query configuration: bigrams, sublinear tf, min_df 2, max_df 0.9.
+TFIDF_Q = T.TfidfParams(ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear_tf=True)
+TFIDF_SQL = O.tfidf_ctes("x", "documents", "documents", ["doc_id"], "text", 2, True, 2, 0.9)
+
+
+@query("tokens", f"""SELECT doc_id, CAST(generate_subscripts(k, 1) - 1 AS BIGINT) AS pos, unnest(k) AS term
+FROM (SELECT doc_id, {O.tokens_sql('text')} AS k FROM documents)""")
+def q_tokens(spark, sf_dir):
+    t = T.terms(table(spark, sf_dir, "documents"), ["doc_id"], "text", T.TfidfParams())
+    return t.select("doc_id", F.col("pos").cast("long"), "term")
+
+
+@query("ngrams", f"""SELECT doc_id, CAST(generate_subscripts(k, 1) - 1 AS BIGINT) AS pos, unnest(k) AS term
+FROM (SELECT doc_id, {O.grams_sql('k', 2)} AS k FROM (SELECT doc_id, {O.tokens_sql('text')} AS k FROM documents))""")
+def q_ngrams(spark, sf_dir):
+    t = T.terms(table(spark, sf_dir, "documents"), ["doc_id"], "text", TFIDF_Q)
+    return t.select("doc_id", F.col("pos").cast("long"), "term")
+
+
+@query("term_freq", "WITH " + O.tf_ctes("x", "documents", ["doc_id"], "text", 2, True) +
+       "\nSELECT doc_id, term, tf, round(tf_w, 6) AS tf_sub FROM xtf")
+def q_term_freq(spark, sf_dir):
+    tf = T.term_freq(table(spark, sf_dir, "documents"), ["doc_id"], "text", TFIDF_Q)
+    return tf.select("doc_id", "term", "tf", F.round("tf_w", 6).alias("tf_sub"))
+
+
+@query("doc_freq", "WITH " + O.tf_ctes("x", "documents", ["doc_id"], "text", 2, True) +
+       "\nSELECT term, CAST(count(*) AS BIGINT) AS df FROM xtf GROUP BY term")
+def q_doc_freq(spark, sf_dir):
+    return T.doc_freq(T.term_freq(table(spark, sf_dir, "documents"), ["doc_id"], "text", TFIDF_Q))
+
+
+@query("idf", "WITH " + TFIDF_SQL + "\nSELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM xvocab")
+def q_idf(spark, sf_dir):
+    m = T.fit(table(spark, sf_dir, "documents"), ["doc_id"], "text", TFIDF_Q)
+    return m.vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("tfidf", "WITH " + TFIDF_SQL + "\nSELECT doc_id, term, round(weight, 6) AS weight FROM xw")
+def q_tfidf(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    m = T.fit(d, ["doc_id"], "text", TFIDF_Q)
+    return m.transform(d, ["doc_id"]).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+# --------------------------------------------------------------------------- #
+# Naive Bayes and softmax over documents, y = lang (M1, M4)
+# --------------------------------------------------------------------------- #
+DOC_SPLIT_SQL = O.split_ctes("d", "documents", "lang", "md5('5644:' || doc_id)", "doc_id") + \
+    ", dtrain AS (SELECT * FROM dsplit WHERE split <> 'test')"
+NB_DOCS_SQL = ("WITH " + DOC_SPLIT_SQL + ", " +
+               O.tfidf_ctes("x", "dtrain", "documents", ["doc_id"], "text", 2, True, 1, 0.9) + ", " +
+               O.nb_ctes("x", "dtrain", "documents", ["doc_id"], "lang", "lang"))
+
+
+def nb_documents(spark, sf_dir):
+    """Stratified split of documents by lang; TF-IDF + NB fitted on
+    train ∪ val; every document scored.  Returns (scores df, classes)."""
+    docs = table(spark, sf_dir, "documents")
+    sp = cut_lineage(D.stratified_split(docs, ["doc_id"], "lang"))
+    train = sp.filter(F.col("split") != "test")
+    m = T.fit(train, ["doc_id"], "text", T.BASELINE)
+    w = m.transform(sp, ["doc_id"])
+    classes = sorted(r[0] for r in train.select("lang").distinct().collect())  # k rows
+    nb = M.nb_fit(w, train, ["doc_id"], "lang", m.vocab, classes)
+    return nb.scores(w, sp, ["doc_id"]), classes
+
+
+@query("naive_bayes_scores", NB_DOCS_SQL + "\nSELECT doc_id, cls AS class, round(score, 6) AS score FROM xscores")
+def q_naive_bayes_scores(spark, sf_dir):
+    sc, classes = nb_documents(spark, sf_dir)
+    cls = F.array(*[F.lit(c) for c in classes])
+    return sc.select("doc_id", F.posexplode("scores").alias("_i", "score")).select(
+        "doc_id", F.element_at(cls, F.col("_i") + 1).alias("class"), F.round("score", 6).alias("score"))
+
+
+@query("softmax_scores", NB_DOCS_SQL + """, sm AS (
+  SELECT doc_id, cls, score - max(score) OVER (PARTITION BY doc_id) AS z FROM xscores
+)
+SELECT doc_id, cls AS class, round(exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id), 6) AS p FROM sm""")
+def q_softmax_scores(spark, sf_dir):
+    sc, classes = nb_documents(spark, sf_dir)
+    cls = F.array(*[F.lit(c) for c in classes])
+    return sc.select("doc_id", F.posexplode(M.softmax(F.col("scores"))).alias("_i", "p")).select(
+        "doc_id", F.element_at(cls, F.col("_i") + 1).alias("class"), F.round("p", 6).alias("p"))
+
+
+# --------------------------------------------------------------------------- #
+# Evaluation on a deterministic imperfect predictor
+# --------------------------------------------------------------------------- #
+NOISY_SQL = """classes AS (
+  SELECT DISTINCT lang AS cls FROM documents
+), noisy AS (
+  SELECT d.doc_id, d.lang AS y, c.cls AS class,
+         round(0.3 * CAST(d.lang = c.cls AS INTEGER) + 0.7 * (CAST(('0x' || substr(md5(d.doc_id || ':' || c.cls), 1, 7)) AS BIGINT) / 268435456.0), 6) AS score
+  FROM documents d CROSS JOIN classes c
+), npred AS (
+  SELECT doc_id, y, class AS p FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS rn FROM noisy) WHERE rn = 1
+)"""
+
+
+def noisy_scores(spark, sf_dir):
+    """score(doc, class) = 0.3·[lang = class] + 0.7·u(md5(doc:class)), 6 dp.
+    Returns (doc_id, y, scores ARRAY, p) and the sorted class list."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("y"))
+    classes = sorted(r[0] for r in d.select("y").distinct().collect())  # k rows
+
+    def score(c):
+        u = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":" + c))), 1, 7),
+                   16, 10).cast("double") / 268435456.0
+        return F.round(0.3 * (F.col("y") == F.lit(c)).cast("int") + 0.7 * u, 6)
+
+    s = d.select("doc_id", "y", F.array(*[score(c) for c in classes]).alias("scores"))
+    return M.predictions(s, classes), classes
+
+
+@query("confusion_matrix", "WITH " + NOISY_SQL + ", " + O.eval_ctes("e", "npred", "classes") +
+       "\nSELECT y, p, cnt FROM econf")
+def q_confusion_matrix(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.confusion(pred, classes)
+
+
+@query("per_class_report", "WITH " + NOISY_SQL + ", " + O.eval_ctes("e", "npred", "classes") + """
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM epcf""")
+def q_per_class_report(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.report(E.confusion(pred, classes))
+
+
+@query("classification_summary", "WITH " + NOISY_SQL + ", " + O.eval_ctes("e", "npred", "classes") +
+       "\nSELECT metric, round(value, 6) AS value FROM esummary")
+def q_classification_summary(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.summary(E.confusion(pred, classes))
+
+
+CURVE_SQL = "WITH " + NOISY_SQL + ", " + O.curve_ctes("r", "noisy")
+
+
+@query("roc_curve", CURVE_SQL + "\nSELECT class, score AS threshold, round(cn / nn, 6) AS fpr, round(cp / np, 6) AS tpr FROM rcum")
+def q_roc_curve(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.roc_curve(E.long_scores(pred, ["doc_id"], classes))
+
+
+@query("pr_curve", CURVE_SQL + """
+SELECT class, score AS threshold, round(cp / (cp + cn), 6) AS precision, round(cp / np, 6) AS recall FROM rcum
+UNION ALL SELECT class, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM rt""")
+def q_pr_curve(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.pr_curve(E.long_scores(pred, ["doc_id"], classes))
+
+
+@query("auc_ovr", CURVE_SQL + """
+SELECT class, round(sum(neg * ((cp - pos) + pos / 2.0)) / (max(np) * max(nn)), 6) AS auc FROM rcum GROUP BY class""")
+def q_auc_ovr(spark, sf_dir):
+    pred, classes = noisy_scores(spark, sf_dir)
+    return E.auc_ovr(E.long_scores(pred, ["doc_id"], classes))
+
+
+# --------------------------------------------------------------------------- #
+# NB on cued sentences, full vs masked text
+# --------------------------------------------------------------------------- #
+KEYS = ["doc_id", "sent_idx"]
+
+
+def _nb_cued_sql(p: str, split_cte: str) -> str:
+    return (f"{p}train AS (SELECT * FROM {split_cte} WHERE split <> 'test'), "
+            f"{p}test AS (SELECT * FROM {split_cte} WHERE split = 'test'), " +
+            O.tfidf_ctes(p, f"{p}train", split_cte, KEYS, "text", 2, True, 1, 0.9) + ", " +
+            O.nb_ctes(p, f"{p}train", f"{p}test", KEYS, "label", "label_id") +
+            f", {p}pred2 AS (SELECT t.label AS y, x.p FROM {p}pred x JOIN {p}test t ON x.doc_id = t.doc_id AND x.sent_idx = t.sent_idx), " +
+            O.eval_ctes(p + "e", f"{p}pred2", "allcls"))
+
+
+NB_CUED_SQL = ("WITH " + O.cte_cued() + ", " +
+               O.split_ctes("c", "labeled", "label", O.key_md5(), "doc_id, sent_idx") +
+               f", allcls AS (SELECT label AS cls FROM {LABEL_VALUES}), " + _nb_cued_sql("f", "csplit") +
+               f", mcsplit AS (SELECT * REPLACE ({O.mask_sql('text')} AS text) FROM csplit), " +
+               _nb_cued_sql("m", "mcsplit"))
+
+
+def _metric_row(model: str, summary_cte: str) -> str:
+    def m(name):
+        return f"round(max(value) FILTER (WHERE metric = '{name}'), 6)"
+    return (f"SELECT '{model}' AS model, {m('accuracy')} AS accuracy, {m('macro_f1_present')} AS macro_f1, "
+            f"{m('weighted_f1')} AS weighted_f1 FROM {summary_cte}")
+
+
+def nb_cued_predictions(spark, sf_dir, masked: bool, split=None):
+    sp = split if split is not None else cut_lineage(split_df(spark, sf_dir))
+    if masked:
+        sp = sp.withColumn("text", mask_expr(F.col("text")))
+    train = sp.filter(F.col("split") != "test")
+    test = sp.filter(F.col("split") == "test")
+    m = T.fit(train, KEYS, "text", T.BASELINE)
+    w = m.transform(sp, KEYS)
+    present = {r[0] for r in train.select("label").distinct().collect()}  # ≤ k rows
+    classes = [lab for lab in LABELS if lab in present]
+    nb = M.nb_fit(w, train, KEYS, "label", m.vocab, classes)
+    return M.predictions(nb.scores(w, test, KEYS), classes, truth=test, key_cols=KEYS, y_col="label")
+
+
+def _model_metrics(pred, model: str):
+    s = E.summary(E.confusion(pred, list(LABELS)))
+    wide = s.groupBy().pivot("metric", ["accuracy", "macro_f1_present", "weighted_f1"]).agg(F.first("value"))
+    return wide.select(F.lit(model).alias("model"), "accuracy",
+                       F.col("macro_f1_present").alias("macro_f1"), "weighted_f1")
+
+
+@query("model_comparison", NB_CUED_SQL + "\n" + _metric_row("nb", "fesummary") + "\nUNION ALL " +
+       _metric_row("nb_masked", "mesummary"))
+def q_model_comparison(spark, sf_dir):
+    sp = cut_lineage(split_df(spark, sf_dir))
+    full = _model_metrics(nb_cued_predictions(spark, sf_dir, False, sp), "nb")
+    masked = _model_metrics(nb_cued_predictions(spark, sf_dir, True, sp), "nb_masked")
+    return full.unionByName(masked)
+
+
+@query("ablation", NB_CUED_SQL + """
+SELECT 'nb' AS model, round(f.value, 6) AS macro_f1_full, round(m.value, 6) AS macro_f1_masked,
+       round(m.value - f.value, 6) AS delta
+FROM fesummary f JOIN mesummary m ON f.metric = m.metric WHERE f.metric = 'macro_f1_present'""")
+def q_ablation(spark, sf_dir):
+    c = q_model_comparison(spark, sf_dir)
+    f = c.filter(F.col("model") == "nb").select(F.col("macro_f1").alias("macro_f1_full"))
+    m = c.filter(F.col("model") == "nb_masked").select(F.col("macro_f1").alias("macro_f1_masked"))
+    return f.select(F.lit("nb").alias("model"), "macro_f1_full",
+                    m.scalar().alias("macro_f1_masked")).withColumn(
+        "delta", F.round(F.col("macro_f1_masked") - F.col("macro_f1_full"), 6))
+
+
+@query("critical_miss", NB_CUED_SQL + """
+SELECT y AS class, CAST(count(*) AS BIGINT) AS support, CAST(sum(CASE WHEN p = 'INFORMATIVE' THEN 1 ELSE 0 END) AS BIGINT) AS missed,
+       round(sum(CASE WHEN p = 'INFORMATIVE' THEN 1 ELSE 0 END) / count(*), 6) AS miss_rate
+FROM fpred2 WHERE y IN ('MANDATORY', 'PROHIBITED') GROUP BY y""")
+def q_critical_miss(spark, sf_dir):
+    return E.critical_miss(nb_cued_predictions(spark, sf_dir, False))

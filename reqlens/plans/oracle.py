@@ -196,3 +196,159 @@ def md_blocks_sql() -> str:
 ), md_nonempty AS (
   SELECT * FROM md_blocks WHERE length(text) > 0
 )"""
+
+
+# --------------------------------------------------------------------------- #
+# Generic split / TF-IDF / Naive Bayes fragments
+# --------------------------------------------------------------------------- #
+
+
+def split_ctes(p: str, src: str, label: str, md5_expr: str, order_cols: str) -> str:
+    """``{p}split``: src rows + ``split`` (both stages stratified)."""
+    return f"""{p}cnt AS (
+  SELECT {label} AS label, count(*) AS c FROM {src} GROUP BY {label}
+), {p}a1 AS (
+  SELECT label, c, (c * n_keep) // n AS fl, (c * n_keep) % n AS fr, n_keep
+  FROM {p}cnt, (SELECT sum(c) AS n, sum(c) - CAST(ceil(round(sum(c) * 0.2, 9)) AS BIGINT) AS n_keep FROM {p}cnt) t
+), {p}q1 AS (
+  SELECT label, c, fl + CASE WHEN row_number() OVER (ORDER BY fr DESC, c, label) <= n_keep - sum(fl) OVER () THEN 1 ELSE 0 END AS q1
+  FROM {p}a1
+), {p}a2 AS (
+  SELECT label, q1, (q1 * n_keep) // n AS fl, (q1 * n_keep) % n AS fr, n_keep
+  FROM {p}q1, (SELECT sum(q1) AS n, sum(q1) - CAST(ceil(round(sum(q1) * (0.1::DOUBLE / 0.8::DOUBLE), 9)) AS BIGINT) AS n_keep FROM {p}q1) t
+), {p}q2 AS (
+  SELECT label, q1, fl + CASE WHEN row_number() OVER (ORDER BY fr DESC, q1, label) <= n_keep - sum(fl) OVER () THEN 1 ELSE 0 END AS q2
+  FROM {p}a2
+), {p}ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.{label} ORDER BY {md5_expr}, {order_cols}) AS _r FROM {src} s
+), {p}split AS (
+  SELECT r.* EXCLUDE (_r), CASE WHEN r._r > q.q1 THEN 'test' WHEN r._r <= q.q2 THEN 'train' ELSE 'val' END AS split
+  FROM {p}ranked r JOIN {p}q2 q ON r.{label} = q.label
+)"""
+
+
+def tokens_sql(text: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({text})), '{W}{W}+')"
+
+
+def grams_sql(k: str, ngram_hi: int) -> str:
+    """n-grams over a token-list *column* ``k``."""
+    if ngram_hi == 1:
+        return k
+    return f"list_concat({k}, list_transform(range(1, len({k})), lambda j: {k}[j] || ' ' || {k}[j + 1]))"
+
+
+def tf_ctes(p: str, src: str, keys: list[str], text: str, ngram_hi: int, sublinear: bool) -> str:
+    ks = ", ".join(keys)
+    tfw = "1 + ln(count(*))" if sublinear else "CAST(count(*) AS DOUBLE)"
+    return f"""{p}k AS (
+  SELECT {ks}, {tokens_sql(text)} AS k FROM {src}
+), {p}g AS (
+  SELECT {ks}, unnest({grams_sql('k', ngram_hi)}) AS term FROM {p}k
+), {p}tf AS (
+  SELECT {ks}, term, CAST(count(*) AS BIGINT) AS tf, {tfw} AS tf_w FROM {p}g GROUP BY {ks}, term
+)"""
+
+
+def tfidf_ctes(p: str, train: str, apply: str, keys: list[str], text: str, ngram_hi: int,
+               sublinear: bool, min_df, max_df) -> str:
+    """``{p}vocab`` (term, df, idf) fitted on ``train``; ``{p}w`` (keys, term,
+    weight) for every row of ``apply``."""
+    ks = ", ".join(keys)
+    lo = str(min_df) if isinstance(min_df, int) else f"{float(min_df)} * n"
+    hi = str(max_df) if isinstance(max_df, int) else f"{float(max_df)} * n"
+    return tf_ctes(p + "tr", train, keys, text, ngram_hi, sublinear) + ", " + \
+        tf_ctes(p + "ap", apply, keys, text, ngram_hi, sublinear) + f""", {p}n AS (
+  SELECT CAST(count(*) AS DOUBLE) AS n FROM {train}
+), {p}vocab AS (
+  SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM (SELECT term, count(*) AS df FROM {p}trtf GROUP BY term), {p}n
+  WHERE df <= {hi} AND df >= {lo}
+), {p}w0 AS (
+  SELECT a.{keys[0]}{''.join(', a.' + k for k in keys[1:])}, a.term, a.tf_w * v.idf AS w FROM {p}aptf a JOIN {p}vocab v ON a.term = v.term
+), {p}w AS (
+  SELECT {ks}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {ks})) AS weight FROM {p}w0
+)"""
+
+
+def nb_ctes(p: str, train: str, apply: str, keys: list[str], y: str, yord: str) -> str:
+    """Multinomial NB on ``{p}w``/``{p}vocab``: ``{p}scores`` (keys, cls,
+    ord, score) for every row of ``apply``; classes = those in ``train``."""
+    ks = ", ".join(keys)
+    on = " AND ".join(f"w.{k} = t.{k}" for k in keys)
+    return f"""{p}classes AS (
+  SELECT DISTINCT {y} AS cls, {yord} AS ord FROM {train}
+), {p}fc AS (
+  SELECT t.{y} AS cls, w.term, sum(w.weight) AS s FROM {p}w w JOIN {train} t ON {on} GROUP BY t.{y}, w.term
+), {p}grid AS (
+  SELECT v.term, c.cls, coalesce(fc.s, 0) AS s FROM {p}vocab v CROSS JOIN {p}classes c
+  LEFT JOIN {p}fc fc ON fc.term = v.term AND fc.cls = c.cls
+), {p}tot AS (
+  SELECT cls, sum(s) AS tot FROM {p}grid GROUP BY cls
+), {p}vsize AS (
+  SELECT CAST(count(*) AS DOUBLE) AS vs FROM {p}vocab
+), {p}lp AS (
+  SELECT g.term, g.cls, ln((g.s + 1) / (t.tot + vs)) AS lp FROM {p}grid g JOIN {p}tot t ON g.cls = t.cls, {p}vsize
+), {p}prior AS (
+  SELECT {y} AS cls, ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM {train})) AS lprior FROM {train} GROUP BY {y}
+), {p}sc AS (
+  SELECT {', '.join('w.' + k for k in keys)}, lp.cls, sum(w.weight * lp.lp) AS s FROM {p}w w JOIN {p}lp lp ON w.term = lp.term
+  GROUP BY {', '.join('w.' + k for k in keys)}, lp.cls
+), {p}scores AS (
+  SELECT {', '.join('a.' + k for k in keys)}, c.cls, c.ord, coalesce(sc.s, 0) + pr.lprior AS score
+  FROM {apply} a CROSS JOIN {p}classes c
+  LEFT JOIN {p}sc sc ON {' AND '.join(f'sc.{k} = a.{k}' for k in keys)} AND sc.cls = c.cls
+  JOIN {p}prior pr ON pr.cls = c.cls
+), {p}pred AS (
+  SELECT {ks}, cls AS p FROM (
+    SELECT {ks}, cls, row_number() OVER (PARTITION BY {ks} ORDER BY round(score, 6) DESC, ord) AS rn FROM {p}scores
+  ) WHERE rn = 1
+)"""
+
+
+def eval_ctes(p: str, pred: str, classes: str) -> str:
+    """From ``pred`` (y, p) and a class list CTE (cls): ``{p}conf``,
+    ``{p}pc`` (per class) and ``{p}summary`` (metric, value)."""
+    return f"""{p}c0 AS (
+  SELECT y, p, count(*) AS cnt FROM {pred} GROUP BY y, p
+), {p}conf AS (
+  SELECT a.cls AS y, b.cls AS p, CAST(coalesce(c0.cnt, 0) AS BIGINT) AS cnt
+  FROM {classes} a CROSS JOIN {classes} b LEFT JOIN {p}c0 c0 ON c0.y = a.cls AND c0.p = b.cls
+), {p}pc0 AS (
+  SELECT c.cls AS class,
+    (SELECT sum(cnt) FROM {p}conf WHERE y = c.cls AND p = c.cls) AS tp,
+    (SELECT sum(cnt) FROM {p}conf WHERE y = c.cls) AS support,
+    (SELECT sum(cnt) FROM {p}conf WHERE p = c.cls) AS predicted
+  FROM {classes} c
+), {p}pc AS (
+  SELECT class, support, predicted,
+    CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+    CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall
+  FROM {p}pc0
+), {p}pcf AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM {p}pc
+), {p}summary AS (
+  SELECT 'accuracy' AS metric, (SELECT sum(cnt) FILTER (WHERE y = p) / sum(cnt) FROM {p}conf) AS value
+  UNION ALL SELECT 'macro_f1_present', avg(f1) FILTER (WHERE support > 0 OR predicted > 0) FROM {p}pcf
+  UNION ALL SELECT 'macro_f1_all', avg(f1) FROM {p}pcf
+  UNION ALL SELECT 'macro_precision_all', avg(precision) FROM {p}pcf
+  UNION ALL SELECT 'macro_recall_all', avg(recall) FROM {p}pcf
+  UNION ALL SELECT 'weighted_precision', sum(precision * support) / sum(support) FROM {p}pcf
+  UNION ALL SELECT 'weighted_recall', sum(recall * support) / sum(support) FROM {p}pcf
+  UNION ALL SELECT 'weighted_f1', sum(f1 * support) / sum(support) FROM {p}pcf
+)"""
+
+
+def curve_ctes(p: str, scores: str) -> str:
+    """From ``scores`` (y, class, score): ``{p}cum`` with running counts."""
+    return f"""{p}g AS (
+  SELECT class, score, sum(CASE WHEN y = class THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y = class THEN 0 ELSE 1 END) AS neg
+  FROM {scores} GROUP BY class, score
+), {p}t AS (
+  SELECT class, sum(pos) AS np, sum(neg) AS nn FROM {p}g GROUP BY class HAVING sum(pos) > 0
+), {p}cum AS (
+  SELECT g.*, t.np, t.nn,
+    sum(pos) OVER (PARTITION BY g.class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+    sum(neg) OVER (PARTITION BY g.class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
+  FROM {p}g g JOIN {p}t t ON g.class = t.class
+)"""
