@@ -7,6 +7,7 @@ one evaluation path serves all of them.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
@@ -65,15 +66,16 @@ def nb_fit(weights: DataFrame, labels: DataFrame, key_cols: list[str], y_col: st
                  .pivot("_y", classes).agg(F.sum("weight")))
     wide = vocab.select("term").join(fc, "term", "left").select(
         "term", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"f_{i}") for i, c in enumerate(classes)])
-    totals = wide.agg(*[F.sum(f"f_{i}").alias(f"t_{i}") for i in range(k)],
-                      F.count(F.lit(1)).cast("double").alias("v"))
-    v = totals.select("v").scalar()
-    t = [totals.select(f"t_{i}").scalar() for i in range(k)]
-    lp = wide.select("term", *[F.log((F.col(f"f_{i}") + alpha) / (t[i] + alpha * v)).alias(f"lp_{i}")
+    # k + 2 numbers (class totals, vocabulary size, class counts): collected once
+    row = wide.agg(*[F.sum(f"f_{i}").alias(f"t_{i}") for i in range(k)],
+                   F.count(F.lit(1)).alias("v")).first()
+    v = float(row["v"])
+    t = [float(row[f"t_{i}"] or 0.0) for i in range(k)]
+    lp = wide.select("term", *[F.log((F.col(f"f_{i}") + alpha) / F.lit(t[i] + alpha * v)).alias(f"lp_{i}")
                                for i in range(k)])
-    n = lab.agg(F.count(F.lit(1)).cast("double")).scalar()
-    prior = [F.log(lab.filter(F.col("_y") == F.lit(c)).agg(F.count(F.lit(1)).cast("double")).scalar() / n)
-             for c in classes]
+    counts = {r[0]: int(r[1]) for r in lab.groupBy("_y").count().collect()}
+    n = float(sum(counts.values()))
+    prior = [F.lit(math.log(counts[c] / n)) for c in classes]
     return NaiveBayesModel(list(classes), lp, prior)
 
 

@@ -80,7 +80,10 @@ class TfidfModel:
         """(keys, term, weight): L2-normalised tf·idf over the fitted
         vocabulary; unknown terms drop; a document without known terms has no
         rows (zero vector)."""
-        tf = term_freq(df, key_cols, text_col, self.params)
+        return self.transform_tf(term_freq(df, key_cols, text_col, self.params), key_cols)
+
+    def transform_tf(self, tf: DataFrame, key_cols: list[str]) -> DataFrame:
+        """Same, from an already computed term-frequency table."""
         j = tf.join(self.vocab.select("term", "idf"), "term")
         w = F.col("tf_w") * F.col("idf")
         norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(*key_cols)))
@@ -99,7 +102,13 @@ def fit(df: DataFrame, key_cols: list[str], text_col: str = "text",
         p: TfidfParams = DEFAULTS) -> TfidfModel:
     """Vocabulary, df and smooth idf from the training rows only."""
     n = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    tf = term_freq(df, key_cols, text_col, p)
+    return fit_tf(term_freq(df, key_cols, text_col, p), n, p)
+
+
+def fit_tf(tf: DataFrame, n, p: TfidfParams = DEFAULTS) -> TfidfModel:
+    """Fit from the training rows' term-frequency table and their count ``n``
+    (a number or a scalar column)."""
+    n = F.lit(float(n)) if isinstance(n, (int, float)) else n
     d = doc_freq(tf)
     keep = (F.col("df") <= _limit(p.max_df, n)) & (F.col("df") >= _limit(p.min_df, n))
     vocab = d.filter(keep).withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)

@@ -398,14 +398,23 @@ NB_DOCS_SQL = ("WITH " + DOC_SPLIT_SQL + ", " +
                O.nb_ctes("x", "dtrain", "documents", ["doc_id"], "lang", "lang"))
 
 
+def fit_transform_split(sp, keys, params):
+    """Tokenise every row once: fit the vocabulary on the train ∪ val rows'
+    term frequencies, weight all rows with it.  The weights are reused by the
+    fit and the scoring, so they are persisted."""
+    tf = T.term_freq(sp, keys + ["split"], "text", params).persist()
+    n = sp.filter(F.col("split") != "test").count()
+    m = T.fit_tf(tf.filter(F.col("split") != "test"), n, params)
+    return m, m.transform_tf(tf.drop("split"), keys).persist()
+
+
 def nb_documents(spark, sf_dir):
     """Stratified split of documents by lang; TF-IDF + NB fitted on
     train ∪ val; every document scored.  Returns (scores df, classes)."""
     docs = table(spark, sf_dir, "documents")
     sp = cut_lineage(D.stratified_split(docs, ["doc_id"], "lang"))
     train = sp.filter(F.col("split") != "test")
-    m = T.fit(train, ["doc_id"], "text", T.BASELINE)
-    w = m.transform(sp, ["doc_id"])
+    m, w = fit_transform_split(sp, ["doc_id"], T.BASELINE)
     classes = sorted(r[0] for r in train.select("lang").distinct().collect())  # k rows
     nb = M.nb_fit(w, train, ["doc_id"], "lang", m.vocab, classes)
     return nb.scores(w, sp, ["doc_id"]), classes
@@ -541,8 +550,7 @@ def nb_cued_predictions(spark, sf_dir, masked: bool, split=None):
         sp = sp.withColumn("text", mask_expr(F.col("text")))
     train = sp.filter(F.col("split") != "test")
     test = sp.filter(F.col("split") == "test")
-    m = T.fit(train, KEYS, "text", T.BASELINE)
-    w = m.transform(sp, KEYS)
+    m, w = fit_transform_split(sp, KEYS, T.BASELINE)
     present = {r[0] for r in train.select("label").distinct().collect()}  # ≤ k rows
     classes = [lab for lab in LABELS if lab in present]
     nb = M.nb_fit(w, train, KEYS, "label", m.vocab, classes)

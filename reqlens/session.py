@@ -23,6 +23,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # local mode only (the driver JVM is the executor); a cluster sets its own
+    "spark.driver.memory": "16g",
     "spark.ui.showConsoleProgress": "false",
 }
 
