@@ -98,7 +98,7 @@ def predictions(scored: DataFrame, classes: list, truth: DataFrame | None = None
 # --------------------------------------------------------------------------- #
 
 
-def logreg(n_rows: int, C: float = 1.0, max_iter: int = 2000, tol: float = 1e-10,
+def logreg(n_rows: int, C: float = 1.0, max_iter: int = 2000, tol: float = 1e-6,
            features: str = "features", label: str = "label_id", weight: str = "w") -> LogisticRegression:
     """Multinomial L2 logistic regression.  The library objective
     C·Σ w_i·loss_i + ½‖W‖² equals Spark's (1/Σw)·Σ w_i·loss_i + (λ/2)‖W‖² for

@@ -592,3 +592,56 @@ SELECT y AS class, CAST(count(*) AS BIGINT) AS support, CAST(sum(CASE WHEN p = '
 FROM fpred2 WHERE y IN ('MANDATORY', 'PROHIBITED') GROUP BY y""")
 def q_critical_miss(spark, sf_dir):
     return E.critical_miss(nb_cued_predictions(spark, sf_dir, False))
+
+
+# --------------------------------------------------------------------------- #
+# Spark ML models (M2, M7, W4, W5) — iterative solvers: rows-only checks;
+# exactness is pinned by the golden tests on the reference's own splits.
+# --------------------------------------------------------------------------- #
+from ..operators import select as SEL  # noqa: E402
+
+ROLES_KEYS = ["conv_id", "turn"]
+
+
+def conversation_splits(spark, sf_dir):
+    """conversations with y = role (class id by sorted role), split 70/10/20."""
+    conv = table(spark, sf_dir, "conversations")
+    roles = sorted(r[0] for r in conv.select("role").distinct().collect())  # k rows
+    conv = conv.withColumn("label_id", (F.array_position(F.array(*[F.lit(x) for x in roles]),
+                                                         F.col("role")) - 1).cast("int"))
+    return cut_lineage(D.stratified_split(conv, ROLES_KEYS, "role")), roles
+
+
+def _role_fit(spark, sf_dir, params=T.BASELINE):
+    sp, roles = conversation_splits(spark, sf_dir)
+    tr = sp.filter(F.col("split") != "test")
+    return SEL.fit_predict(tr, sp.filter(F.col("split") == "test"), ROLES_KEYS, params=params), roles
+
+
+@query("logreg_predictions")
+def q_logreg_predictions(spark, sf_dir):
+    r, roles = _role_fit(spark, sf_dir)
+    names = F.array(*[F.lit(x) for x in roles])
+    return r.pred.select(*ROLES_KEYS, F.element_at(names, F.col("y") + 1).alias("y"),
+                         F.element_at(names, F.col("p") + 1).alias("p"),
+                         F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
+
+
+@query("top_terms")
+def q_top_terms(spark, sf_dir):
+    r, roles = _role_fit(spark, sf_dir, T.IMPORTANCE)
+    return SEL.term_weights(r, 8, names=roles)
+
+
+@query("bottom_terms")
+def q_bottom_terms(spark, sf_dir):
+    r, roles = _role_fit(spark, sf_dir, T.IMPORTANCE)
+    return SEL.term_weights(r, 8, smallest_abs=True, names=roles)
+
+
+@query("embedding_model")
+def q_embedding_model(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("label_id", F.col("label").cast("int"))
+    sp = cut_lineage(D.stratified_split(e, ["vec_id"], "label_id"))
+    res = SEL.embedding_model(sp, ["vec_id"], labels=None)
+    return res["pred"].select("vec_id", "y", "p", F.lit(res["best_epoch"]).alias("best_epoch"))
