@@ -115,6 +115,16 @@ def fit_tf(tf: DataFrame, n, p: TfidfParams = DEFAULTS) -> TfidfModel:
     return TfidfModel(p, vocab, n)
 
 
+def fit_transform(df: DataFrame, key_cols: list[str], text_col: str = "text",
+                  p: TfidfParams = DEFAULTS) -> tuple[TfidfModel, DataFrame]:
+    """Fit on ``df`` and weight the same rows, tokenising once (the
+    term-frequency table is persisted and read by both steps)."""
+    tf = term_freq(df, key_cols, text_col, p).persist()
+    n = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    m = fit_tf(tf, n, p)
+    return m, m.transform_tf(tf, key_cols)
+
+
 @F.udf(VectorUDT())
 def _sparse(size, idx, vals):
     return SparseVector(size, idx or [], vals or [])

@@ -384,8 +384,8 @@ def q_idf(spark, sf_dir):
 @query("tfidf", "WITH " + TFIDF_SQL + "\nSELECT doc_id, term, round(weight, 6) AS weight FROM xw")
 def q_tfidf(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    m = T.fit(d, ["doc_id"], "text", TFIDF_Q)
-    return m.transform(d, ["doc_id"]).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    _, w = T.fit_transform(d, ["doc_id"], "text", TFIDF_Q)
+    return w.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 # --------------------------------------------------------------------------- #
