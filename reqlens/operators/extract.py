@@ -99,13 +99,14 @@ def records(body_blocks: DataFrame, doc_cols: list[str], source: Column,
             page: Column | None = None, protect_abbrev: bool = False) -> DataFrame:
     """Sentence records (text, page, section, block_type, source) plus the
     ordering keys, from body blocks that already carry ``section``."""
-    b = body_blocks.select(*doc_cols, "block_idx", "block_type", "section",
-                           source.alias("source"),
+    extra = [] if "source" in doc_cols else [source.alias("source")]
+    b = body_blocks.select(*doc_cols, "block_idx", "block_type", "section", *extra,
                            (page if page is not None else F.lit(None)).cast("int").alias("page"),
                            "text")
-    s = sentences(b, [*doc_cols, "block_idx"], keep_cols=["block_type", "section", "source", "page"],
-                  protect_abbrev=protect_abbrev)
-    return s.select("text", "page", "section", "block_type", "source", *doc_cols, "block_idx", "sent_idx")
+    keep = ["block_type", "section", "page"] + ([] if "source" in doc_cols else ["source"])
+    s = sentences(b, [*doc_cols, "block_idx"], keep_cols=keep, protect_abbrev=protect_abbrev)
+    others = [c for c in doc_cols if c != "source"]
+    return s.select("text", "page", "section", "block_type", "source", *others, "block_idx", "sent_idx")
 
 
 # --------------------------------------------------------------------------- #
