@@ -123,13 +123,16 @@ def stratified_split(df: DataFrame, key_cols: list[str], label_col: str = "label
     val = val_size/(1-test_size) of the rest; each stage stratified when its
     guard allows.  Row order inside a class is md5(seed:key) — deterministic
     and independent of partitioning."""
-    d = df.withColumn("_h", hash_key(seed, *key_cols))
+    # read three times (class counts, bucket counts, ranked rows): persist once
+    d = df.withColumn("_h", hash_key(seed, *key_cols)).persist()
     order = ["_h", *key_cols]
     lab = F.col(label_col)
-    plan1 = plan_split(_class_counts(df, label_col), test_size)
+    counts1 = _class_counts(d, label_col)
+    plan1 = plan_split(counts1, test_size)
     grp1 = [label_col] if plan1.stratified else []
+    # offsets table: at most (#classes × 16^digits) rows — a proven bound
     d = bucketed_rank(d, grp1, hex_bucket(F.col("_h"), hex_digits), order, "_r1",
-                      n_buckets_bound=16 ** hex_digits, n_groups_bound=64 if grp1 else None)
+                      n_buckets_bound=16 ** hex_digits, n_groups_bound=len(counts1) if grp1 else None)
     keep1 = F.col("_r1") <= _quota(plan1, lab)
     if plan1.stratified:
         counts2 = dict(plan1.quotas)
@@ -142,7 +145,7 @@ def stratified_split(df: DataFrame, key_cols: list[str], label_col: str = "label
         d = d.withColumn("_k1", keep1)
         grp2 = ["_k1", label_col] if plan2.stratified else ["_k1"]
         d = bucketed_rank(d, grp2, hex_bucket(F.col("_h"), hex_digits), order, "_r2",
-                          n_buckets_bound=16 ** hex_digits, n_groups_bound=128)
+                          n_buckets_bound=16 ** hex_digits, n_groups_bound=2 * len(counts1))
         rank2 = F.col("_r2")
     split = (F.when(~keep1, F.lit("test"))
               .when(rank2 <= _quota(plan2, lab), F.lit("train"))
@@ -160,9 +163,9 @@ def kfold_assign(df: DataFrame, key_cols: list[str], label_id_col: str = "label_
                  max_label_id: int = 64) -> DataFrame:
     """Add ``fold`` = (global rank over (label_id, md5 key) − 1) mod k, which
     stratifies: per-class fold counts and fold sizes differ by at most one."""
+    d = df.withColumn("_h", hash_key(seed, *key_cols)).persist()
     if k is None:
-        k = n_folds_for(_class_counts(df, label_id_col))
-    d = df.withColumn("_h", hash_key(seed, *key_cols))
+        k = n_folds_for(_class_counts(d, label_id_col))
     bucket = F.col(label_id_col).cast("long") * (16 ** hex_digits) + hex_bucket(F.col("_h"), hex_digits)
     d = bucketed_rank(d, [], bucket, [label_id_col, "_h", *key_cols], "_r",
                       n_buckets_bound=(16 ** hex_digits) * max_label_id)

@@ -127,3 +127,19 @@ def test_same_result_under_shuffle_partitions(spark, cued):
         assert run(1) == run(7)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_cv_scores_and_selection_plumbing(spark):
+    import os
+    from conftest import REF
+    from reqlens.operators import select as S
+    from reqlens.sources.tables import read_splits_csv
+    if not os.path.isdir(REF):
+        pytest.skip("reference data absent")
+    d = read_splits_csv(spark, f"{REF}/data/dataset")
+    cv = S.cv_scores(d.filter("split = 'train'"), ["rid"], candidates=("nb",))
+    rows = cv.collect()
+    assert len(rows) == 2 and all(0.0 <= r["macro_f1"] <= 1.0 for r in rows)
+    summ = S.cv_summary(cv)
+    assert S.best_candidate(summ) == "nb"
+    assert len(list(S.grid_points())) == 24
