@@ -117,9 +117,10 @@ def fit_tf(tf: DataFrame, n, p: TfidfParams = DEFAULTS) -> TfidfModel:
 
 def fit_transform(df: DataFrame, key_cols: list[str], text_col: str = "text",
                   p: TfidfParams = DEFAULTS) -> tuple[TfidfModel, DataFrame]:
-    """Fit on ``df`` and weight the same rows, tokenising once (the
-    term-frequency table is persisted and read by both steps)."""
-    tf = term_freq(df, key_cols, text_col, p).persist()
+    """Fit on ``df`` and weight the same rows.  Both steps read one
+    term-frequency subtree, so Spark reuses its shuffle (tokenising once)
+    instead of caching millions of (doc, term) rows."""
+    tf = term_freq(df, key_cols, text_col, p)
     n = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     m = fit_tf(tf, n, p)
     return m, m.transform_tf(tf, key_cols)

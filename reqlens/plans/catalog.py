@@ -16,7 +16,8 @@ from ..functions.text import FEATURES, mask_expr
 from ..operators import dataset as D
 from ..operators import extract as X
 from ..operators import profile as P
-from ..schema import LABELS, PREAMBLE, TABLE_SCHEMAS
+from ..schema import LABELS
+from ..sources.tables import read_table
 from . import oracle as O
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,9 +34,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = TABLE_SCHEMAS.get(name)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def cued(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,9 +399,9 @@ NB_DOCS_SQL = ("WITH " + DOC_SPLIT_SQL + ", " +
 
 def fit_transform_split(sp, keys, params):
     """Tokenise every row once: fit the vocabulary on the train ∪ val rows'
-    term frequencies, weight all rows with it.  The weights are reused by the
-    fit and the scoring, so they are persisted."""
-    tf = T.term_freq(sp, keys + ["split"], "text", params).persist()
+    term frequencies (one shared, reused shuffle), weight all rows with it.
+    The weights feed both the NB fit and the scoring, so they are persisted."""
+    tf = T.term_freq(sp, keys + ["split"], "text", params)
     n = sp.filter(F.col("split") != "test").count()
     m = T.fit_tf(tf.filter(F.col("split") != "test"), n, params)
     return m, m.transform_tf(tf.drop("split"), keys).persist()

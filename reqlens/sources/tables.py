@@ -11,7 +11,16 @@ from ..schema import LABELED_SCHEMA, METRICS_SCHEMA, RECORD_SCHEMA, TABLE_SCHEMA
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = TABLE_SCHEMAS.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(reader.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (one large row
+    group, one small file) would run all per-row text work in a few tasks;
+    round-robin it once to the default parallelism.  Scans of big data have
+    thousands of splits and are left alone."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def read_labeled_csv(spark: SparkSession, path: str) -> DataFrame:
