@@ -159,16 +159,17 @@ def n_folds_for(counts: dict, max_folds: int = CV_FOLDS) -> int:
 
 
 def kfold_assign(df: DataFrame, key_cols: list[str], label_id_col: str = "label_id",
-                 k: int | None = None, seed: int = SEED, hex_digits: int = 3,
-                 max_label_id: int = 64) -> DataFrame:
+                 k: int | None = None, seed: int = SEED, hex_digits: int = 3) -> DataFrame:
     """Add ``fold`` = (global rank over (label_id, md5 key) − 1) mod k, which
     stratifies: per-class fold counts and fold sizes differ by at most one."""
     d = df.withColumn("_h", hash_key(seed, *key_cols)).persist()
+    counts = _class_counts(d, label_id_col)  # k rows
     if k is None:
-        k = n_folds_for(_class_counts(d, label_id_col))
+        k = n_folds_for(counts)
     bucket = F.col(label_id_col).cast("long") * (16 ** hex_digits) + hex_bucket(F.col("_h"), hex_digits)
+    # offsets table: at most (#classes × 16^digits) rows — a proven bound
     d = bucketed_rank(d, [], bucket, [label_id_col, "_h", *key_cols], "_r",
-                      n_buckets_bound=(16 ** hex_digits) * max_label_id)
+                      n_buckets_bound=(16 ** hex_digits) * max(1, len(counts)))
     return d.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 
