@@ -496,7 +496,7 @@ CURVE_SQL = "WITH " + NOISY_SQL + ", " + O.curve_ctes("r", "noisy")
 @query("roc_curve", CURVE_SQL + "\nSELECT class, score AS threshold, round(cn / nn, 6) AS fpr, round(cp / np, 6) AS tpr FROM rcum")
 def q_roc_curve(spark, sf_dir):
     pred, classes = noisy_scores(spark, sf_dir)
-    return E.roc_curve(E.long_scores(pred, ["doc_id"], classes))
+    return E.roc_curve(E.long_scores(pred, ["doc_id"], classes), n_classes=len(classes))
 
 
 @query("pr_curve", CURVE_SQL + """
@@ -504,14 +504,14 @@ SELECT class, score AS threshold, round(cp / (cp + cn), 6) AS precision, round(c
 UNION ALL SELECT class, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM rt""")
 def q_pr_curve(spark, sf_dir):
     pred, classes = noisy_scores(spark, sf_dir)
-    return E.pr_curve(E.long_scores(pred, ["doc_id"], classes))
+    return E.pr_curve(E.long_scores(pred, ["doc_id"], classes), n_classes=len(classes))
 
 
 @query("auc_ovr", CURVE_SQL + """
 SELECT class, round(sum(neg * ((cp - pos) + pos / 2.0)) / (max(np) * max(nn)), 6) AS auc FROM rcum GROUP BY class""")
 def q_auc_ovr(spark, sf_dir):
     pred, classes = noisy_scores(spark, sf_dir)
-    return E.auc_ovr(E.long_scores(pred, ["doc_id"], classes))
+    return E.auc_ovr(E.long_scores(pred, ["doc_id"], classes), n_classes=len(classes))
 
 
 # --------------------------------------------------------------------------- #

@@ -19,4 +19,5 @@ def test_available_now_equals_batch(spark):
     batch = with_labels(sentences(src, ["doc_id"]))
     assert got.count() == batch.count()
     assert got.select("doc_id", "sent_idx", "label").exceptAll(batch.select("doc_id", "sent_idx", "label")).count() == 0
-    assert got.filter(F.col("masked").contains("[MODAL]")).count() == 0 or True
+    # the stock documents carry no modal cue, so masking leaves every sentence unchanged
+    assert got.filter(F.col("masked") != F.col("text")).count() == 0
