@@ -1,9 +1,10 @@
 """The queries of this package by name, and the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
-from reqlens.llm import sharding, topk, warc
+from reqlens.llm import sharding, tokenbin, topk, warc
 
 QUERIES = {
+    "op2_fixed_width_ids": tokenbin.op2_fixed_width_ids,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op9_stratified_interleave": sharding.op9_stratified_interleave,
     "op10_nra_top_k": topk.op10_nra_top_k,
