@@ -5,10 +5,10 @@ one long. Its counts come from all trusted documents (those with quality 1 in ``
 per task and one sum per n-gram; the counts of lower orders are continuation counts, and each order has the
 three discounts of its counts of counts.
 
-No task needs the model as a whole. Documents are dealt into blocks by a hash; each block asks once for the
-distinct n-grams it holds; the requests are joined with the counts, sharded by n-gram, order by order; and
-each block gets back the probabilities of its own n-grams, with which it scores its documents. The texts
-shuffle once, compressed.
+No task needs the model as a whole, and no text is shuffled. Each task writes its rows as block files into
+the shared folder. A block asks once for the distinct n-grams it holds; the requests are joined with the
+counts, sharded by n-gram, order by order; and each block gets back the probabilities of its own n-grams,
+with which it scores its documents.
 
 A document is rejected when its perplexity exceeds what its language allows: log-perplexities of trusted
 documents that the model has not been trained on (a third is held out) give quartiles by language and
@@ -18,7 +18,7 @@ the square root of the text's length, since one number or name moves the mean of
 Defined cases: a null or empty text has no units, perplexity null, and is kept; a language without enough
 held-out documents (or a null language) takes the quartiles of all languages; without any trusted document
 the model is uniform and all are kept; a null doc_id is scored like any other; rows that repeat a doc_id are
-scored one by one, and a label of the id counts for all of them; a document with labels of both kinds is
+scored one by one, and a label of the id holds for all of them; a document with labels of both kinds is
 trusted by any 1; an empty table gives no rows; filtering keeps all columns and other columns are not read.
 """
 from __future__ import annotations
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import arrow_rows, shuffle_partitions, stored, table
+from reqlens.llm.common import TaskFile, open_file, stored, table, work_dir
 
 ORDER = 4
 UNIT_BITS = 16
@@ -44,7 +45,8 @@ MIN_HELD_OUT = 20
 #: Length classes by the number of units: short texts vary more.
 LENGTHS = (0, 64, 128, 256, 512, 1024, 4096)
 SLICE_UNITS = 1 << 21
-BLOCKS_PER_PARTITION = 2
+SLICE_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 25
 
 
 def grams(text: str) -> np.ndarray:
@@ -69,19 +71,6 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """g, c: the n-grams of the column ``text`` and their counts."""
-    schema = pa.schema([("g", pa.int64()), ("c", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in _slices([t for t in b.column(0).to_pylist() if t]):
-                g, c = np.unique(np.concatenate([grams(t) for t in part]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], schema=schema)
-
-    return texts.select("text").mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
 def _suffix(g: Column, k: int) -> Column:
     """The last k - 1 units of a k-gram."""
     return g.bitwiseAND(F.lit((1 << (UNIT_BITS * (k - 1))) - 1))
@@ -145,65 +134,111 @@ class KneserNey:
         raise AssertionError
 
 
-def _pack_texts(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """block, rid, z: each row's compressed text under a hash of the row."""
-    schema = pa.schema([("block", pa.int32()), ("rid", pa.binary()), ("doc_id", pa.int64()), ("z", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            block, rid, doc_id, text = b.columns
-            z = [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in text]
-            yield pa.RecordBatch.from_arrays([block, rid, doc_id, pa.array(z, pa.binary())], schema=schema)
-
-    rows = docs.select(F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("int").alias("block"), "rid", "doc_id", "text")
-    return rows.mapInArrow(run, "block int, rid binary, doc_id long, z binary")
+def store_blocks(docs: DataFrame) -> tuple[str, DataFrame]:
+    """Write the rows of ``docs``, all columns, as compressed block files of about BLOCK_BYTES of text into a
+    new shared folder; (folder, places), where places has block, row, doc_id and lang of every row."""
+    folder = work_dir(docs.sparkSession, "blocks")
+    at = [docs.columns.index(c) for c in ("text", "doc_id", "lang")]
+    schema = pa.schema([("block", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string())])
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum(pc.coalesce(pc.binary_length(b.column(at[0])), pa.scalar(0, pa.int32())).to_numpy(
+            zero_copy_only=False), dtype=np.int64)
+        ends = [*np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1, b.num_rows]
+        for start, end in zip([0, *ends], ends, strict=False):
+            yield b.slice(start, end - start)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, f = TaskContext.get().partitionId(), 0, None
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+        for b in (x for whole in batches if whole.num_rows for x in cut(whole)):
+            if f is None:
+                f, rows, size = TaskFile(folder, f"block-{part:06d}-{k:04d}", ".arrow"), 0, 0
+                ipc = pa.ipc.new_stream(f.stream, b.schema, options=options)
+            ipc.write_batch(b)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f.name] * n, pa.string()), pa.array(np.arange(rows, rows + n)), b.column(at[1]),
+                 pc.coalesce(b.column(at[2]), "")], schema=schema)
+            rows, size = rows + n, size + (pc.sum(pc.binary_length(b.column(at[0]))).as_py() or 0)
+            if size >= BLOCK_BYTES:
+                ipc.close()
+                f.commit()
+                f, k = None, k + 1
+        if f is not None:
+            ipc.close()
+            f.commit()
+
+    return folder, stored(docs.mapInArrow(write, "block string, row long, doc_id long, lang string"), "places")
+
+
+def _read_block(folder: str, blocks: pa.Table) -> pa.Table:
+    with open_file(folder, blocks["block"][0].as_py()) as f:
+        return pa.ipc.open_stream(f).read_all()
 
 
 def _texts(t: pa.Table) -> list[str]:
-    unpress = zstandard.ZstdDecompressor().decompress
-    return [unpress(z).decode("utf-8", "surrogatepass") for z in t["z"].to_pylist()]
-
+    return [x or "" for x in t["text"].to_pylist()]
+
+
+def requests(folder: str, blocks: DataFrame, training: DataFrame) -> DataFrame:
+    """block, g, c: the distinct n-grams of each block and their counts in the rows (block, row) to train on."""
+    schema = pa.schema([("block", pa.string()), ("g", pa.int64()), ("c", pa.int64())])
+
+    def ask(own: pa.Table, rows: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
+        texts = _texts(_read_block(folder, own))
+        total = pd.Series(dtype="int64")
+        train = np.zeros(len(texts), bool)
+        train[rows["row"].to_numpy()] = True
+        parts = []
+        for chosen in (True, False):
+            for part in _slices([t for t, x in zip(texts, train, strict=True) if t and x == chosen]):
+                g, c = np.unique(np.concatenate([grams(t) for t in part]), return_counts=True)
+                parts.append(pd.Series(c if chosen else np.zeros(len(g), np.int64), g))
+        total = pd.concat(parts).groupby(level=0).sum() if parts else total
+        name = own["block"][0].as_py()
+        return pa.table([pa.array([name] * len(total), pa.string()), pa.array(total.index.to_numpy(np.int64)),
+                         pa.array(total.to_numpy(np.int64))], schema=schema)
 
-def log_perplexity(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """rid, doc_id, n_units, log_ppl of the rows of ``docs`` (rid, doc_id, text)."""
-    n_blocks = BLOCKS_PER_PARTITION * max(shuffle_partitions(docs.sparkSession), 8)
-    packed = _pack_texts(docs, n_blocks).repartition(n_blocks, "block")
-    asked = pa.schema([("block", pa.int32()), ("g", pa.int64())])
+    training = training.toDF("of", "row")
+    return blocks.groupBy("block").cogroup(training.groupBy("of")).applyInArrow(
+        ask, "block string, g long, c long")
 
-    def ask(t: pa.Table) -> pa.Table:
-        seen = [pd.unique(np.concatenate([grams(x) for x in part])) for part in _slices(_texts(t))]
-        g = pd.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-        return pa.table([pa.array(np.full(len(g), t["block"][0].as_py(), np.int32)), pa.array(g)], schema=asked)
 
-    requests = stored(packed.groupBy("block").applyInArrow(ask, "block int, g long"), "requests")
-    known = model.log_probs(requests.select("g").distinct())
-    answers = requests.join(known, "g")
-    scored = pa.schema([("rid", pa.binary()), ("doc_id", pa.int64()), ("n_units", pa.int64()),
+def log_perplexity(folder: str, blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """block, row, n_units, log_ppl of every stored row, from the log-probabilities (block, g, logp)."""
+    schema = pa.schema([("block", pa.string()), ("row", pa.int64()), ("n_units", pa.int64()),
                         ("log_ppl", pa.float64())])
 
-    def score(t: pa.Table, found: pa.Table) -> pa.Table:
+    def score(own: pa.Table, found: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return schema.empty_table()
         g = found["g"].to_numpy()
         order = np.argsort(g)
         index, logp = pd.Index(g[order]), found["logp"].to_numpy()[order]
         n, total = [], []
-        for part in _slices(_texts(t)):
+        for part in _slices(_texts(_read_block(folder, own))):
             size = np.array([len(x.encode("utf-16-le", "surrogatepass")) // 2 for x in part])
-            full = [x for x, s in zip(part, size, strict=True) if s]
             one = np.zeros(len(part))
-            if full:
-                at = logp[index.get_indexer(np.concatenate([grams(x) for x in full]))]
+            if full := [x for x in part if x]:
+                which = index.get_indexer(np.concatenate([grams(x) for x in full]))
+                if (which < 0).any():
+                    raise ValueError("an n-gram of the block has no answer")
                 some = size[size > 0]
-                one[size > 0] = np.add.reduceat(at, np.cumsum(some) - some)
+                one[size > 0] = np.add.reduceat(logp[which], np.cumsum(some) - some)
             n.append(size)
             total.append(one)
         n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
         ppl = pa.array(np.where(n > 0, -total / np.maximum(n, 1), np.nan), from_pandas=True)
-        return pa.table([t["rid"].combine_chunks(), t["doc_id"].combine_chunks(), pa.array(n.astype(np.int64)), ppl],
-                        schema=scored)
+        name = own["block"][0].as_py()
+        return pa.table([pa.array([name] * len(n), pa.string()), pa.array(np.arange(len(n))),
+                         pa.array(n.astype(np.int64)), ppl], schema=schema)
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        score, "rid binary, doc_id long, n_units long, log_ppl double")
+    answers = answers.select(F.col("block").alias("of"), "g", "logp")
+    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(
+        score, "block string, row long, n_units long, log_ppl double")
 
 
 def _length_class(n: Column) -> Column:
@@ -213,21 +248,18 @@ def _length_class(n: Column) -> Column:
     return out
 
 
-def _row_id() -> Column:
-    """16 bytes that name a row by its id and text: equal rows share it and have equal scores."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"),
-                                  F.when(F.col("text").isNull(), "n").otherwise("t"), F.coalesce("text", F.lit("")))))
-
-
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """rid, doc_id, n_units, log_ppl, limit, kept of every row of ``docs``."""
+def classify(docs: DataFrame, labels: DataFrame) -> tuple[str, DataFrame]:
+    """(folder, scores): the folder of the block files of ``docs``, and block, row, doc_id, n_units, log_ppl,
+    limit, kept of every row."""
+    folder, places = store_blocks(docs)
+    blocks = places.select("block").distinct()
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0
-    model = KneserNey(stored(gram_counts(docs.join(trusted.where(~held), "doc_id", "left_semi")), f"kn{ORDER}"))
-    rows = docs.select("doc_id", "text", _row_id().alias("rid"))
-    lang = docs.select(_row_id().alias("rid"), F.coalesce(F.col("lang"), F.lit("")).alias("lang")).distinct() \
-        .groupBy("rid").agg(F.min("lang").alias("lang"))
-    scores = stored(log_perplexity(rows, model).join(lang, "rid").withColumn(
+    asked = stored(requests(folder, blocks, places.select("block", "row", "doc_id").join(
+        trusted.where(~held), "doc_id").select("block", "row")), "requests")
+    model = KneserNey(stored(asked.where("c > 0").groupBy("g").agg(F.sum("c").alias("c")), f"kn{ORDER}"))
+    answers = asked.select("block", "g").join(stored(model.log_probs(asked.select("g").distinct()), "log-probs"), "g")
+    scores = stored(log_perplexity(folder, blocks, answers).join(places, ["block", "row"]).withColumn(
         "length", _length_class(F.col("n_units"))), "perplexity")
     sample = scores.where("log_ppl IS NOT NULL").join(trusted.where(held), "doc_id", "left_semi")
 
@@ -246,17 +278,26 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     limit = F.coalesce("limit_lang_length", F.greatest("limit_lang", "limit_length"),
                        F.lit(everywhere[0][0] if everywhere else None).cast("double"))
     limit = limit + F.lit(SHORT) / F.sqrt(F.greatest("n_units", F.lit(1)))
-    return limits.select("rid", "doc_id", "n_units", "log_ppl", limit.alias("limit")).withColumn(
+    return folder, limits.select("block", "row", "doc_id", "n_units", "log_ppl", limit.alias("limit")).withColumn(
         "kept", F.coalesce(F.col("log_ppl") <= F.col("limit"), F.lit(True)))
 
 
 def keep_trustworthy(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps."""
-    rejected = stored(classify(docs, labels).where(~F.col("kept")).select(F.col("rid").alias("_rid")).distinct(),
-                      "rejected")
-    return docs.join(rejected, _row_id() == F.col("_rid"), "left_anti")
+    """The rows of ``docs`` that the classifier keeps, read from their block files."""
+    folder, scores = classify(docs, labels)
+    scores = stored(scores.select("block", "row", "kept"), "verdicts")
+
+    def keep(own: pa.Table, gone: pa.Table) -> pa.Table:
+        rows = _read_block(folder, own)
+        stay = np.ones(rows.num_rows, bool)
+        stay[gone["row"].to_numpy()] = False
+        return rows.filter(pa.array(stay))
+
+    return scores.select("block").distinct().groupBy("block").cogroup(
+        scores.where(~F.col("kept")).select(F.col("block").alias("of"), "row").groupBy("of")).applyInArrow(
+        keep, docs.schema)
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    _, out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.exp("log_ppl").alias("perplexity"), "kept", "n_units", "log_ppl", "limit")
