@@ -1,7 +1,7 @@
 """The queries of this package by name, and the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
-from reqlens.llm import compression, kneser_ney, neardup, pieces, secrets, sharding, tokenbin, topk, warc
+from reqlens.llm import compression, kneser_ney, neardup, packing, pieces, secrets, sharding, tokenbin, topk, warc
 
 QUERIES = {
     "op1_kneser_ney_quality": kneser_ney.op1_kneser_ney_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_compression_bands": compression.op4_compression_bands,
     "op5_chosen_path_groups": neardup.op5_chosen_path_groups,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
+    "op7_bm25_packing": packing.op7_bm25_packing,
     "op8_offset_pieces": pieces.op8_offset_pieces,
     "op9_stratified_interleave": sharding.op9_stratified_interleave,
     "op10_nra_top_k": topk.op10_nra_top_k,
