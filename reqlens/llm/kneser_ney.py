@@ -28,12 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import TaskFile, open_file, stored, table, work_dir
+from reqlens.llm.blocks import by_block, read_block, store_blocks, without_rows
+from reqlens.llm.common import stored, table
 
 ORDER = 4
 UNIT_BITS = 16
@@ -45,8 +44,6 @@ MIN_HELD_OUT = 20
 #: Length classes by the number of units: short texts vary more.
 LENGTHS = (0, 64, 128, 256, 512, 1024, 4096)
 SLICE_UNITS = 1 << 21
-SLICE_BYTES = 1 << 22
-BLOCK_BYTES = 1 << 25
 
 
 def grams(text: str) -> np.ndarray:
@@ -134,49 +131,6 @@ class KneserNey:
         raise AssertionError
 
 
-def store_blocks(docs: DataFrame) -> tuple[str, DataFrame]:
-    """Write the rows of ``docs``, all columns, as compressed block files of about BLOCK_BYTES of text into a
-    new shared folder; (folder, places), where places has block, row, doc_id and lang of every row."""
-    folder = work_dir(docs.sparkSession, "blocks")
-    at = [docs.columns.index(c) for c in ("text", "doc_id", "lang")]
-    schema = pa.schema([("block", pa.string()), ("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string())])
-
-    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size = np.cumsum(pc.coalesce(pc.binary_length(b.column(at[0])), pa.scalar(0, pa.int32())).to_numpy(
-            zero_copy_only=False), dtype=np.int64)
-        ends = [*np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1, b.num_rows]
-        for start, end in zip([0, *ends], ends, strict=False):
-            yield b.slice(start, end - start)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, f = TaskContext.get().partitionId(), 0, None
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
-        for b in (x for whole in batches if whole.num_rows for x in cut(whole)):
-            if f is None:
-                f, rows, size = TaskFile(folder, f"block-{part:06d}-{k:04d}", ".arrow"), 0, 0
-                ipc = pa.ipc.new_stream(f.stream, b.schema, options=options)
-            ipc.write_batch(b)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.name] * n, pa.string()), pa.array(np.arange(rows, rows + n)), b.column(at[1]),
-                 pc.coalesce(b.column(at[2]), "")], schema=schema)
-            rows, size = rows + n, size + (pc.sum(pc.binary_length(b.column(at[0]))).as_py() or 0)
-            if size >= BLOCK_BYTES:
-                ipc.close()
-                f.commit()
-                f, k = None, k + 1
-        if f is not None:
-            ipc.close()
-            f.commit()
-
-    return folder, stored(docs.mapInArrow(write, "block string, row long, doc_id long, lang string"), "places")
-
-
-def _read_block(folder: str, blocks: pa.Table) -> pa.Table:
-    with open_file(folder, blocks["block"][0].as_py()) as f:
-        return pa.ipc.open_stream(f).read_all()
-
-
 def _texts(t: pa.Table) -> list[str]:
     return [x or "" for x in t["text"].to_pylist()]
 
@@ -188,7 +142,7 @@ def requests(folder: str, blocks: DataFrame, training: DataFrame) -> DataFrame:
     def ask(own: pa.Table, rows: pa.Table) -> pa.Table:
         if not own.num_rows:
             return schema.empty_table()
-        texts = _texts(_read_block(folder, own))
+        texts = _texts(read_block(folder, own))
         total = pd.Series(dtype="int64")
         train = np.zeros(len(texts), bool)
         train[rows["row"].to_numpy()] = True
@@ -202,8 +156,7 @@ def requests(folder: str, blocks: DataFrame, training: DataFrame) -> DataFrame:
         return pa.table([pa.array([name] * len(total), pa.string()), pa.array(total.index.to_numpy(np.int64)),
                          pa.array(total.to_numpy(np.int64))], schema=schema)
 
-    training = training.toDF("of", "row")
-    return blocks.groupBy("block").cogroup(training.groupBy("of")).applyInArrow(
+    return by_block(blocks, training).applyInArrow(
         ask, "block string, g long, c long")
 
 
@@ -219,7 +172,7 @@ def log_perplexity(folder: str, blocks: DataFrame, answers: DataFrame) -> DataFr
         order = np.argsort(g)
         index, logp = pd.Index(g[order]), found["logp"].to_numpy()[order]
         n, total = [], []
-        for part in _slices(_texts(_read_block(folder, own))):
+        for part in _slices(_texts(read_block(folder, own))):
             size = np.array([len(x.encode("utf-16-le", "surrogatepass")) // 2 for x in part])
             one = np.zeros(len(part))
             if full := [x for x in part if x]:
@@ -236,8 +189,7 @@ def log_perplexity(folder: str, blocks: DataFrame, answers: DataFrame) -> DataFr
         return pa.table([pa.array([name] * len(n), pa.string()), pa.array(np.arange(len(n))),
                          pa.array(n.astype(np.int64)), ppl], schema=schema)
 
-    answers = answers.select(F.col("block").alias("of"), "g", "logp")
-    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(
+    return by_block(blocks, answers).applyInArrow(
         score, "block string, row long, n_units long, log_ppl double")
 
 
@@ -251,7 +203,7 @@ def _length_class(n: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> tuple[str, DataFrame]:
     """(folder, scores): the folder of the block files of ``docs``, and block, row, doc_id, n_units, log_ppl,
     limit, kept of every row."""
-    folder, places = store_blocks(docs)
+    folder, places = store_blocks(docs, "lang")
     blocks = places.select("block").distinct()
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HELD_OUT)) == 0
@@ -259,7 +211,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> tuple[str, DataFrame]:
         trusted.where(~held), "doc_id").select("block", "row")), "requests")
     model = KneserNey(stored(asked.where("c > 0").groupBy("g").agg(F.sum("c").alias("c")), f"kn{ORDER}"))
     answers = asked.select("block", "g").join(stored(model.log_probs(asked.select("g").distinct()), "log-probs"), "g")
-    scores = stored(log_perplexity(folder, blocks, answers).join(places, ["block", "row"]).withColumn(
+    scores = stored(log_perplexity(folder, blocks, answers).join(
+        places.withColumn("lang", F.coalesce("lang", F.lit(""))), ["block", "row"]).withColumn(
         "length", _length_class(F.col("n_units"))), "perplexity")
     sample = scores.where("log_ppl IS NOT NULL").join(trusted.where(held), "doc_id", "left_semi")
 
@@ -286,16 +239,7 @@ def keep_trustworthy(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, read from their block files."""
     folder, scores = classify(docs, labels)
     scores = stored(scores.select("block", "row", "kept"), "verdicts")
-
-    def keep(own: pa.Table, gone: pa.Table) -> pa.Table:
-        rows = _read_block(folder, own)
-        stay = np.ones(rows.num_rows, bool)
-        stay[gone["row"].to_numpy()] = False
-        return rows.filter(pa.array(stay))
-
-    return scores.select("block").distinct().groupBy("block").cogroup(
-        scores.where(~F.col("kept")).select(F.col("block").alias("of"), "row").groupBy("of")).applyInArrow(
-        keep, docs.schema)
+    return without_rows(folder, scores, scores.where(~F.col("kept")), docs.schema)
 
 
 def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

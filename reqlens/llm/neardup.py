@@ -10,15 +10,16 @@ probability s, so at 0.85 a tree of one level misses a pair with probability 0.1
 with 0.18 at most (the branching process (0.15 + 0.85 q)^2 = q dies out with q = 0.031); TREES independent
 trees miss it with under 1e-7.
 
-Nodes are worked off in two passes. First every class is compared with the smallest class of its node (a
-star, linear in the node). The links found give components. Then only nodes that still hold two components
-are open: small ones compare all pairs of different components, larger ones branch, and what is still
-large after LEVELS levels (sets that agree almost everywhere, yet are not linked) is compared exhaustively
-in blocks of LEAF classes, so no pair of a node is ever dropped. Pairs inside a component need no
-comparison, as they cannot change the groups. A comparison first estimates similarity from the signatures,
-4.5 standard deviations below the limit, and is then confirmed on the full sets.
+First every class is compared with the smallest class of its root node (a star, linear in the node), and the
+links found give components. Then the trees are worked off in ROUNDS, and only nodes that still hold two
+components are open: small ones compare all pairs of different components, larger ones branch, and what is
+still large after LEVELS branchings (sets that agree almost everywhere, yet are not all linked) compares
+the full sets of all pairs, block by block, so no pair of a node is ever dropped. Pairs inside a component
+need no comparison, as they cannot change the groups. Small nodes and stars first estimate similarity from
+the signatures, 4.5 standard deviations below the limit; a link is always confirmed on the full sets. The
+texts for it come from block files in the shared folder, so texts that no pair needs are never shuffled.
 
-Groups of any size are split: nodes over partitions by hash, stars into chunks, large leaves into blocks.
+Groups of any size are split: nodes over partitions by hash, stars into chunks, large nodes into blocks.
 
 Defined cases: documents without words, or with a null text, have an empty set and link with nothing; rows
 with a null doc_id are linked with nothing, have a null component and are kept; rows that share a doc_id
@@ -37,6 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reqlens.llm.blocks import store_blocks, texts_of, without_rows
 from reqlens.llm.common import arrow_rows, stored, table
 
 SHINGLE = 5
@@ -45,7 +47,9 @@ SIGNATURE = 128
 TREES = 10
 BRANCHES = 2
 LEAF = 128
-LEVELS = 3
+LEVELS = 1
+BLOCK = 256
+ROUNDS = ((0, 0), (1, 3), (4, TREES - 1))
 MARGIN = 4.5
 STAR_CHUNK = 256
 REMEMBERED = 400_000
@@ -135,7 +139,7 @@ def _roots(classes: DataFrame) -> DataFrame:
     """node, rep: each class once per tree, at the node of its token at the tree's coordinate."""
     step = SIGNATURE // TREES
     return classes.select("rep", "sig", F.explode(F.expr(f"sequence(0, {TREES - 1})")).alias("tree")).select(
-        F.xxhash64("tree", _token("sig", F.col("tree") * step)).alias("node"), "rep")
+        F.xxhash64("tree", _token("sig", F.col("tree") * step)).alias("node"), "rep", "tree")
 
 
 def _children(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,36 +173,42 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets, which are made from the whole texts again."""
-    pairs = stored(pairs.distinct(), "pairs")
-    chunk = F.floor(F.col("row") / STAR_CHUNK)
-    # the other ends of a are cut into chunks, each of which gets the text of a once
-    sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars")
-    dealt = pairs.join(sizes, "a").withColumn("row", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR_CHUNK))
-                                              * STAR_CHUNK).select("a", "b", chunk.alias("chunk"))
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _packed_texts(vertices: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+    """doc_id, z: the compressed texts of the documents (doc_id), fetched from their block files."""
     packed = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1).compress
+        z = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             texts = [z((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], schema=packed)
 
-    texts = stored(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(
-        press, "doc_id long, z binary"), "texts")
+    wanted = stored(places.join(vertices, "doc_id", "left_semi"), "wanted")
+    return stored(texts_of(folder, wanted).mapInArrow(press, "doc_id long, z binary"), "texts")
+
+
+def _sets(t: pa.Table) -> list[np.ndarray]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    return [shingles(unpress(z).decode("utf-8", "surrogatepass")) for z in t["z"].to_pylist()]
+
+
+def _confirmed(pairs: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked by their full sets, which are made from the whole texts again."""
+    pairs = stored(pairs.distinct(), "pairs")
+    # the other ends of a are cut into chunks, each of which gets the text of a once
+    sizes = stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars")
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR_CHUNK))
+                                          .alias("chunk"))
+    texts = _packed_texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), folder, places)
     left = dealt.select("a", "chunk").distinct().join(texts.toDF("a", "z"), "a").toDF("one", "part", "z")
     right = dealt.join(texts.toDF("b", "z"), "b")
     found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(one: pa.Table, others: pa.Table) -> pa.Table:
-        unpress = zstandard.ZstdDecompressor().decompress
-        sets = [shingles(unpress(z).decode("utf-8", "surrogatepass")) for z in one["z"].to_pylist()]
+        sets = _sets(one)
         a = one["one"][0].as_py() if one.num_rows else None
         hits = set()
-        for b, z in zip(others["b"].to_pylist(), others["z"].to_pylist(), strict=True):
-            t = shingles(unpress(z).decode("utf-8", "surrogatepass"))
+        for b, t in zip(others["b"].to_pylist(), _sets(others), strict=True):
             if any(linked(s, t) for s in sets):
                 hits.add(b)
         return pa.table([pa.array([a] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], schema=found)
@@ -234,37 +244,70 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(of.join(nodes.select("node", "n"), "node"), "open")
 
 
-def _leaf_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) of different components within each leaf (node, i, j): one block, or two."""
+def _leaf_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b) of different components within each small node."""
     rows = members.join(classes.select("rep", "n_shingles", "sig"), "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
-        sig, n = _matrix(t["sig"]), t["n_shingles"].to_numpy()
-        rep, comp, side = t["rep"].to_numpy(), t["component"].to_numpy(), t["side"].to_numpy()
-        two = side.any()
+        sig, n, rep, comp = _matrix(t["sig"]), *(t[c].to_numpy() for c in ("n_shingles", "rep", "component"))
         a, b = [], []
-        for i in range(len(rep)):
-            if two and side[i]:
-                continue
-            others = np.flatnonzero((comp != comp[i]) & ((side > 0) if two else (np.arange(len(rep)) > i)))
-            agree = (sig[others] == sig[i]).sum(axis=1)
-            hit = rep[others[could_link(n[others], n[i], agree)]]
+        for i in range(len(rep) - 1):
+            others = i + 1 + np.flatnonzero(comp[i + 1:] != comp[i])
+            hit = rep[others[could_link(n[others], n[i], (sig[others] == sig[i]).sum(axis=1))]]
             a.append(np.minimum(hit, rep[i]))
             b.append(np.maximum(hit, rep[i]))
         both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
         return pa.table([pa.array(x, pa.int64()) for x in both], schema=schema)
 
-    return rows.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def _blocks(members: DataFrame) -> DataFrame:
-    """Large nodes as pairs of blocks of about LEAF classes: node, i, j, side, rep, component."""
-    n = F.ceil(F.col("n") / LEAF)
+    return rows.groupBy("node").applyInArrow(compare, "a long, b long")
+
+
+def agreements(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, over the items that both lists hold."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(shared), columns):
+        part = shared[c:c + columns]
+        sides = []
+        for sets in (left, right):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(part, s)
+                at = at[at < len(part)]
+                m[i, at[np.isin(part[at], s, assume_unique=False)]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(members: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+    """Links (a, b) of different components within large nodes: every pair of blocks of about BLOCK classes
+    compares full sets, and only links leave it."""
+    n = F.ceil(F.col("n") / BLOCK)
     own = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("rep"), n))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "component")
+        (F.col("own") > F.col("other")).alias("second"), "rep", "component")
+    texts = _packed_texts(members.select(F.col("rep").alias("doc_id")).distinct(), folder, places)
+    rows = rows.join(texts.toDF("rep", "z"), "rep")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        sets, rep, comp = _sets(t), t["rep"].to_numpy(), t["component"].to_numpy()
+        second = t["second"].to_numpy(zero_copy_only=False)
+        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(rep)),) * 2
+        if not len(left):
+            return schema.empty_table()
+        both = agreements([sets[i] for i in left], [sets[i] for i in right])
+        size = np.array([len(s) for s in sets])
+        union = size[left][:, None] + size[right] - both
+        x, y = np.nonzero((100 * both >= PERCENT * union) & (comp[left][:, None] != comp[right]))
+        p, q = rep[left[x]], rep[right[y]]
+        pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return rows.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,34 +317,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"),
                                              F.count("*").alias("n"))
                      .select("key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles"), "x.sig", "n"), "classes")
-    members = stored(_shared(_roots(classes)), "members")
-    star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(_plausible(star, classes), docs), "links")
     # rows that share a doc_id are one document: their classes are linked
     same = full.select("doc_id", "key").join(classes.select("key", "rep"), "key").where("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     many = stored(same.join(full.groupBy("doc_id").agg(F.countDistinct("key").alias("k")).where("k > 1")
                             .select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"), "same")
-    labels = components(links.union(many))
-
-    pairs = []
-    for level in range(LEVELS + 1):
-        opened = _open(members, labels)
-        small = opened.where(F.col("n") <= LEAF).withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-        pairs.append(stored(_leaf_pairs(small, classes, labels).distinct(), "leaves"))
-        large = opened.where(F.col("n") > LEAF)
-        if not large.limit(1).count():
-            break
-        if level == LEVELS:
-            pairs.append(stored(_leaf_pairs(_blocks(large), classes, labels).distinct(), "leaves"))
-        else:
-            members = stored(_shared(_children(large, classes)).select("node", "rep"), "members")
-    rest = pairs[0]
-    for p in pairs[1:]:
-        rest = rest.union(p)
-    rest = stored(rest.distinct(), "rest")
-    if rest.limit(1).count():
-        labels = components(links.union(many).union(_confirmed(rest, docs)))
+    folder, places = store_blocks(docs.select("doc_id", "text"))
+    roots = stored(_shared(_roots(classes)), "members")
+    star = roots.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    links = stored(many.union(_confirmed(_plausible(star, classes), folder, places)), "links")
+    labels = components(links)
+    for first, last in ROUNDS:  # the links of earlier trees close most nodes of the later ones
+        members, pairs = roots.where(F.col("tree").between(first, last)), None
+        for level in range(LEVELS + 1):
+            opened = _open(members, labels)
+            found = stored(_leaf_pairs(opened.where(F.col("n") <= LEAF), classes).distinct(), "leaves")
+            pairs = found if pairs is None else pairs.union(found)
+            large = opened.where(F.col("n") > LEAF)
+            if not large.limit(1).count():
+                break
+            if level < LEVELS:
+                members = stored(_shared(_children(large, classes)).select("node", "rep"), "members")
+            else:
+                links = stored(links.union(_block_links(large, folder, places).distinct()), "links")
+        if pairs.limit(1).count():
+            links = stored(links.union(_confirmed(pairs, folder, places)), "links")
+        labels = components(links)
 
     of_class = classes.join(labels.toDF("rep", "component_id"), "rep", "left") \
         .where("component_id IS NOT NULL OR n > 1") \
@@ -318,8 +359,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that represent their group."""
-    gone = stored(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    folder, places = store_blocks(docs)
+    return without_rows(folder, places, stored(places.join(gone, "doc_id", "left_semi"), "duplicates"), docs.schema)
 
 
 def op5_chosen_path_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
