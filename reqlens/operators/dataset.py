@@ -27,10 +27,17 @@ def with_mask(df: DataFrame, text_col: str = "text", lexicon: Lexicon = DEFAULT_
 
 def pack_ord(*parts: tuple[str, int]) -> Column:
     """Pack ordering keys into one BIGINT: (col, bits) from most to least
-    significant, so ``min`` hash-aggregates instead of a sort-based struct min."""
+    significant, so ``min`` hash-aggregates instead of a sort-based struct min.
+    A key that does not fit its bits (the first: what the others leave of 63)
+    raises an error, since two rows would otherwise share an ordinal."""
     out = None
-    for name, bits in parts:
+    for i, (name, bits) in enumerate(parts):
         c = F.col(name).cast("long")
+        room = 63 - sum(b for _, b in parts[1:]) if i == 0 else bits
+        if room < 1:
+            raise ValueError("the ordering keys need more than 63 bits")
+        fits = (c >= 0) if room == 63 else (c >= 0) & (c < F.lit(1 << room))
+        c = F.when(c.isNull() | fits, c).otherwise(F.raise_error(F.lit(f"{name} needs more than {room} bits")))
         out = c if out is None else F.shiftleft(out, bits) + c
     return out
 

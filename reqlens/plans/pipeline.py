@@ -23,7 +23,7 @@ def records_from_markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Markdown files → sentence records (text, page, section, block_type,
     source) with ordering keys (doc_ord, block_idx, sent_idx)."""
     md = (spark.read.text(paths, wholetext=True)
-          .select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source"),
+          .select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("source"),
                   F.col("value").alias("markdown")))
     body = X.section_carry(X.md_blocks(md, ["source"]), ["source"])
     return X.records(body, ["source"], F.col("source"))
