@@ -48,7 +48,7 @@ TREES = 10
 BRANCHES = 2
 LEAF = 128
 LEVELS = 1
-BLOCK = 256
+BLOCK = 768
 ROUNDS = ((0, 0), (1, 3), (4, TREES - 1))
 MARGIN = 4.5
 STAR_CHUNK = 256
