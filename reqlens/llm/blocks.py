@@ -61,9 +61,14 @@ def store_blocks(docs: DataFrame, *also: str) -> tuple[str, DataFrame]:
     return folder, stored(docs.mapInArrow(write, out), "places")
 
 
-def read_block(folder: str, blocks: pa.Table) -> pa.Table:
+def block_slices(folder: str, blocks: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, rows) of each slice of a block, so that a task never holds a block's texts as a whole."""
+    first = 0
     with open_file(folder, blocks["block"][0].as_py()) as f:
-        return pa.ipc.open_stream(f).read_all()
+        for b in pa.ipc.open_stream(f):
+            yield first, b
+            first += b.num_rows
+    pa.default_memory_pool().release_unused()
 
 
 def by_block(blocks: DataFrame, rows: DataFrame):
@@ -77,10 +82,9 @@ def by_block(blocks: DataFrame, rows: DataFrame):
 def without_rows(folder: str, places: DataFrame, gone: DataFrame, schema: StructType) -> DataFrame:
     """All stored rows but those at the places ``gone``."""
     def keep(own: pa.Table, out: pa.Table) -> pa.Table:
-        rows = read_block(folder, own)
-        stay = np.ones(rows.num_rows, bool)
-        stay[out["row"].to_numpy()] = False
-        return rows.filter(pa.array(stay))
+        out = out["row"].to_numpy()
+        return pa.Table.from_batches([b.filter(pa.array(~np.isin(np.arange(first, first + b.num_rows), out)))
+                                      for first, b in block_slices(folder, own)])
 
     return by_block(places.select("block").distinct(), gone.select("block", "row")).applyInArrow(keep, schema)
 
@@ -92,8 +96,12 @@ def texts_of(folder: str, wanted: DataFrame) -> DataFrame:
     def fetch(own: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        text = read_block(folder, own)["text"].take(rows["row"])
-        return pa.table([rows["doc_id"].cast(pa.int64()), text.cast(pa.string())], schema=schema)
+        row, parts = rows["row"].to_numpy(), []
+        for first, b in block_slices(folder, own):
+            mine = np.flatnonzero((row >= first) & (row < first + b.num_rows))
+            text = b.column("text").take(pa.array(row[mine] - first)).cast(pa.string())
+            parts.append(pa.table([rows["doc_id"].take(pa.array(mine)).cast(pa.int64()), text], schema=schema))
+        return pa.concat_tables(parts)
 
     return by_block(wanted.select("block").distinct(), wanted.select("block", "row", "doc_id")).applyInArrow(
         fetch, "doc_id long, text string")

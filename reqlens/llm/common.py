@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -67,6 +67,20 @@ def open_file(folder: str, name: str):
     return fs.open_input_file(f"{base}/{name}")
 
 
+#: Entries that a worker's cache holds at most; it is cleared then, which costs time only.
+REMEMBERED = 1 << 17
+_caches: dict[Hashable, dict] = {}
+
+
+def remembered(what: Hashable) -> dict:
+    """The worker's cache of this name. Caches of other names are dropped, as Spark reuses a worker for other
+    operators, whose caches would add up."""
+    if len(_caches.get(what) or ()) > REMEMBERED or what not in _caches:
+        _caches.clear()
+        _caches[what] = {}
+    return _caches[what]
+
+
 def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.blocks import by_block, read_block, store_blocks, without_rows
+from reqlens.llm.blocks import block_slices, by_block, store_blocks, without_rows
 from reqlens.llm.common import stored, table
 
 ORDER = 4
@@ -43,7 +43,7 @@ SHORT = 2.0
 MIN_HELD_OUT = 20
 #: Length classes by the number of units: short texts vary more.
 LENGTHS = (0, 64, 128, 256, 512, 1024, 4096)
-SLICE_UNITS = 1 << 21
+SLICE_UNITS = 1 << 19
 
 
 def grams(text: str) -> np.ndarray:
@@ -131,8 +131,8 @@ class KneserNey:
         raise AssertionError
 
 
-def _texts(t: pa.Table) -> list[str]:
-    return [x or "" for x in t["text"].to_pylist()]
+def _texts(b: pa.RecordBatch) -> list[str]:
+    return [x or "" for x in b.column("text").to_pylist()]
 
 
 def requests(folder: str, blocks: DataFrame, training: DataFrame) -> DataFrame:
@@ -142,16 +142,15 @@ def requests(folder: str, blocks: DataFrame, training: DataFrame) -> DataFrame:
     def ask(own: pa.Table, rows: pa.Table) -> pa.Table:
         if not own.num_rows:
             return schema.empty_table()
-        texts = _texts(read_block(folder, own))
-        total = pd.Series(dtype="int64")
-        train = np.zeros(len(texts), bool)
-        train[rows["row"].to_numpy()] = True
-        parts = []
-        for chosen in (True, False):
-            for part in _slices([t for t, x in zip(texts, train, strict=True) if t and x == chosen]):
-                g, c = np.unique(np.concatenate([grams(t) for t in part]), return_counts=True)
-                parts.append(pd.Series(c if chosen else np.zeros(len(g), np.int64), g))
-        total = pd.concat(parts).groupby(level=0).sum() if parts else total
+        total = pd.Series(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for first, b in block_slices(folder, own):
+            texts, parts = _texts(b), [total]
+            train = np.isin(np.arange(first, first + len(texts)), rows["row"].to_numpy())
+            for chosen in (True, False):
+                for part in _slices([t for t, x in zip(texts, train, strict=True) if t and x == chosen]):
+                    g, c = np.unique(np.concatenate([grams(t) for t in part]), return_counts=True)
+                    parts.append(pd.Series(c if chosen else np.zeros(len(g), np.int64), g))
+            total = pd.concat(parts).groupby(level=0).sum()
         name = own["block"][0].as_py()
         return pa.table([pa.array([name] * len(total), pa.string()), pa.array(total.index.to_numpy(np.int64)),
                          pa.array(total.to_numpy(np.int64))], schema=schema)
@@ -172,7 +171,7 @@ def log_perplexity(folder: str, blocks: DataFrame, answers: DataFrame) -> DataFr
         order = np.argsort(g)
         index, logp = pd.Index(g[order]), found["logp"].to_numpy()[order]
         n, total = [], []
-        for part in _slices(_texts(read_block(folder, own))):
+        for part in (x for _, b in block_slices(folder, own) for x in _slices(_texts(b))):
             size = np.array([len(x.encode("utf-16-le", "surrogatepass")) // 2 for x in part])
             one = np.zeros(len(part))
             if full := [x for x in part if x]:

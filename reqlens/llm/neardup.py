@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.llm.blocks import store_blocks, texts_of, without_rows
-from reqlens.llm.common import arrow_rows, stored, table
+from reqlens.llm.common import arrow_rows, remembered, stored, table
 
 SHINGLE = 5
 PERCENT = 85
@@ -52,14 +52,12 @@ BLOCK = 768
 ROUNDS = ((0, 0), (1, 3), (4, TREES - 1))
 MARGIN = 4.5
 STAR_CHUNK = 256
-REMEMBERED = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.array([pow(int(_ODD), k + 1, 1 << 64) for k in range(SHINGLE)], np.uint64)
 _RNG = np.random.Generator(np.random.PCG64(20_240_607))
 _A = _RNG.integers(1, 1 << 63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, SIGNATURE, np.uint64)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,12 +72,11 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > REMEMBERED:
-        _words.clear()
+    known = remembered("shingle words")
     for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter((_words[w] for w in words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
     k = min(SHINGLE, len(words))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -310,8 +307,9 @@ def _block_links(members: DataFrame, folder: str, places: DataFrame) -> DataFram
     return rows.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``; blocks: what ``store_blocks`` gave for
+    them, if they are stored already."""
     rows = stored(_sketches(docs), "sketches")
     full = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"),
@@ -322,7 +320,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     many = stored(same.join(full.groupBy("doc_id").agg(F.countDistinct("key").alias("k")).where("k > 1")
                             .select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"), "same")
-    folder, places = store_blocks(docs.select("doc_id", "text"))
+    folder, places = blocks or store_blocks(docs.select("doc_id", "text"))
     roots = stored(_shared(_roots(classes)), "members")
     star = roots.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     links = stored(many.union(_confirmed(_plausible(star, classes), folder, places)), "links")
@@ -359,8 +357,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that represent their group."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    folder, places = store_blocks(docs)
+    folder, places = blocks = store_blocks(docs)
+    gone = near_duplicates(docs, blocks).where(~F.col("kept")).select("doc_id").distinct()
     return without_rows(folder, places, stored(places.join(gone, "doc_id", "left_semi"), "duplicates"), docs.schema)
 
 

@@ -27,10 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlens.llm.common import arrow_rows, table
+from reqlens.llm.common import arrow_rows, remembered, table
 
 MARK = "▁"
-REMEMBERED = 400_000
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -145,7 +144,7 @@ class PieceEncoder:
                                                         or self.sp.is_unknown(i))]
         self.by_chunk = (not len(norm.trie) and norm.prefix and norm.escape and not norm.collapse and not norm.suffix
                          and all(MARK not in p.lstrip(MARK) and "\n" not in p for p in shown))
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.cache = "pieces of chunks", path
         self.mark, self.line = self.sp.piece_to_id(MARK), self.sp.encode("\n")
 
     def _chunk(self, c: str) -> tuple[bytes, str]:
@@ -162,9 +161,7 @@ class PieceEncoder:
         if not text or not self.by_chunk or MARK in text:
             ids = self.sp.encode(text) if text else []
             return np.array(ids, self.dtype), ",".join(map(str, ids))
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        known, parts = self.chunks, _CHUNKS.findall(" " + text)
+        known, parts = remembered(self.cache), _CHUNKS.findall(" " + text)
         for c in parts:
             if c not in known:
                 known[c] = self._chunk(c)

@@ -12,10 +12,9 @@ from functools import cache
 
 import numpy as np
 
-END_ID = 1
-#: Words remembered by a worker; beyond it the memory is cleared, which costs time only.
-REMEMBERED = 400_000
+from reqlens.llm.common import remembered
 
+END_ID = 1
 #: Words of printable ASCII and Latin-1 letters: neither the normaliser nor Unicode classes matter beyond lower().
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -38,7 +37,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[bytes, bytes] = {}
+        self.cache = "ids of words", path
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "surrogatepass")
@@ -51,9 +50,7 @@ class WordEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: empty) without special tokens."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        known, parts = self.words, (text or "").encode("utf-8", "surrogatepass").split()
+        known, parts = remembered(self.cache), (text or "").encode("utf-8", "surrogatepass").split()
         try:
             return b"".join([known[w] for w in parts])
         except KeyError:
