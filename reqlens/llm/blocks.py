@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from reqlens.llm.common import TaskFile, open_file, shuffle_partitions, stored, work_dir
+from reqlens.llm.common import TaskFile, open_file, release, shuffle_partitions, stored, tidied, work_dir
 
 SLICE_BYTES = 1 << 22
 BLOCK_BYTES = 1 << 25
@@ -58,7 +58,7 @@ def store_blocks(docs: DataFrame, *also: str) -> tuple[str, DataFrame]:
             ipc.close()
             f.commit()
 
-    return folder, stored(docs.mapInArrow(write, out), "places")
+    return folder, stored(docs.mapInArrow(tidied(write), out), "places")
 
 
 def block_slices(folder: str, blocks: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -68,7 +68,7 @@ def block_slices(folder: str, blocks: pa.Table) -> Iterator[tuple[int, pa.Record
         for b in pa.ipc.open_stream(f):
             yield first, b
             first += b.num_rows
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def by_block(blocks: DataFrame, rows: DataFrame):

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlens.llm.common import arrow_rows, table
+from reqlens.llm.common import arrow_rows, table, tidied
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -103,7 +103,7 @@ def quality(docs: DataFrame) -> DataFrame:
                                       for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{k} {s}" for k, (_, s) in fields))
+        tidied(run), "doc_id long, " + ", ".join(f"{k} {s}" for k, (_, s) in fields))
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def keep_quality(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([judge(t.as_py(), compress).kept for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import stored, table
+from reqlens.llm.common import release, stored, table, tidied
 from reqlens.llm.wordbpe import END_ID, encoder, word_tokenizer
 
 SEQUENCE = 2048
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SE
                                               pa.array(tails, pa.binary())], schema=schema)
 
     return stored(docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, crcs binary, tail binary"), "tails")
+        tidied(run), "doc_id long, n_tokens long, crcs binary, tail binary"), "tails")
 
 
 def statistics(tails: DataFrame, dtype: str, vocab: int) -> tuple[np.ndarray, float, int]:
@@ -177,6 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size:
     shard = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_shards))
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         t = t.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
         doc_id, n, base = t["doc_id"].to_pylist(), t["n_tokens"].to_pylist(), t["shard"][0].as_py() << 32
         rows, k = [], 0
