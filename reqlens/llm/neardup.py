@@ -16,8 +16,9 @@ components are open: small ones compare all pairs of different components, large
 still large after LEVELS branchings (sets that agree almost everywhere, yet are not all linked) compares
 the full sets of all pairs, block by block, so no pair of a node is ever dropped. Pairs inside a component
 need no comparison, as they cannot change the groups. Small nodes and stars first estimate similarity from
-the signatures, 4.5 standard deviations below the limit; a link is always confirmed on the full sets. The
-texts for it come from block files in the shared folder, so texts that no pair needs are never shuffled.
+the tokens' low bytes (which agree at least where the tokens do), 4.5 standard deviations below the limit; a
+link is always confirmed on the full sets. The texts for it come from block files in the shared folder, so
+texts that no pair needs are never shuffled.
 
 Groups of any size are split: nodes over partitions by hash, stars into chunks, large nodes into blocks.
 
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.llm.blocks import store_blocks, texts_of, without_rows
-from reqlens.llm.common import arrow_rows, remembered, stored, table
+from reqlens.llm.common import arrow_rows, release, remembered, stored, table, tidied
 
 SHINGLE = 5
 PERCENT = 85
@@ -105,9 +106,10 @@ def could_link(sizes_a: np.ndarray, sizes_b: np.ndarray, agree: np.ndarray) -> n
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the set, null if empty), sig of every row."""
+    """doc_id, n_shingles, key (hash of the set, null if empty), sig, low (the low byte of each token) of every
+    row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()),
-                        ("sig", pa.binary())])
+                        ("sig", pa.binary()), ("low", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,13 +117,16 @@ def _sketches(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py())
                 key = hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None
-                rows.append((doc_id, len(s), key, signature(s).tobytes() if len(s) and doc_id is not None else None))
+                sig = signature(s) if len(s) and doc_id is not None else None
+                rows.append((doc_id, len(s), key, *((None, None) if sig is None else
+                                                    (sig.tobytes(), sig.astype(np.uint8).tobytes()))))
                 if len(rows) >= 4096:
                     yield arrow_rows(schema, rows)
                     rows = []
             yield arrow_rows(schema, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(
+        tidied(run), "doc_id long, n_shingles long, key binary, sig binary, low binary")
 
 
 def _token(sig: str, at: Column) -> Column:
@@ -129,22 +134,27 @@ def _token(sig: str, at: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
 
 
-def _roots(classes: DataFrame) -> DataFrame:
-    """node, rep: each class once per tree, at the node of its token at the tree's coordinate."""
-    step = SIGNATURE // TREES
-    return classes.select("rep", "sig", F.explode(F.expr(f"sequence(0, {TREES - 1})")).alias("tree")).select(
-        F.xxhash64("tree", _token("sig", F.col("tree") * step)).alias("node"), "rep", "tree")
+def _below(node: Column, levels: int) -> Column:
+    """(node, below) of the child for each coordinate that the node chooses; below: its own children."""
+    def child(branch: int) -> Column:
+        at = F.pmod(F.xxhash64(node, F.lit("coordinate"), F.lit(branch)), F.lit(SIGNATURE)).cast("int")
+        own = F.xxhash64(node, at, _token("sig", at))
+        return F.struct(own.alias("node"), *([_below(own, levels - 1).alias("below")] if levels > 1 else []))
+
+    return F.array(*map(child, range(BRANCHES)))
 
 
-def _children(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, rep: each member of a node once for each coordinate that the node chooses."""
-    at = F.pmod(F.xxhash64("node", F.lit("coordinate"), "branch"), F.lit(SIGNATURE))
-    return members.select("node", "rep").join(classes.select("rep", "sig"), "rep").withColumn(
-        "branch", F.explode(F.expr(f"sequence(0, {BRANCHES - 1})"))).withColumn("at", at.cast("int")).select(
-        F.xxhash64("node", "at", _token("sig", F.col("at"))).alias("node"), "rep")
+def _roots(classes: DataFrame) -> DataFrame:
+    """node, rep, tree, below: each class once per tree, at the node of its token at the tree's coordinate. The
+    nodes further down are named here, where the tokens are, so that no signature is shuffled for them."""
+    step = SIGNATURE // TREES
+    rows = classes.select("rep", "sig", F.explode(F.expr(f"sequence(0, {TREES - 1})")).alias("tree")).select(
+        F.xxhash64("tree", _token("sig", F.col("tree") * step)).alias("node"), "rep", "tree", "sig")
+    below = [_below(F.col("node"), LEVELS).alias("below")] if LEVELS else []
+    return rows.select("node", "rep", "tree", *below)
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -156,18 +166,18 @@ def _shared(members: DataFrame) -> DataFrame:
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
-    side = classes.select("rep", "n_shingles", "sig")
-    both = pairs.join(side.toDF("a", "n_a", "sig_a"), "a").join(side.toDF("b", "n_b", "sig_b"), "b")
+    side = classes.select("rep", "n_shingles", "low")
+    both = pairs.join(side.toDF("a", "n_a", "low_a"), "a").join(side.toDF("b", "n_b", "low_b"), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                agree = (_matrix(x["sig_a"]) == _matrix(x["sig_b"])).sum(axis=1)
+                agree = (_matrix(x["low_a"]) == _matrix(x["low_b"])).sum(axis=1)
                 ok = pa.array(could_link(x["n_a"].to_numpy(), x["n_b"].to_numpy(), agree))
                 yield pa.RecordBatch.from_arrays([x["a"].filter(ok), x["b"].filter(ok)], schema=schema)
 
-    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "low_a", "low_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _packed_texts(vertices: DataFrame, folder: str, places: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def _packed_texts(vertices: DataFrame, folder: str, places: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], schema=packed)
 
     wanted = stored(places.join(vertices, "doc_id", "left_semi"), "wanted")
-    return stored(texts_of(folder, wanted).mapInArrow(press, "doc_id long, z binary"), "texts")
+    return stored(texts_of(folder, wanted).mapInArrow(tidied(press), "doc_id long, z binary"), "texts")
 
 
 def _sets(t: pa.Table) -> list[np.ndarray]:
@@ -232,8 +242,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, rep, component, n for the nodes that hold two components or more."""
-    of = members.select("node", "rep").join(labels.toDF("rep", "component"), "rep", "left").withColumn(
+    """node, rep, component, n (and below) for the nodes that hold two components or more."""
+    own = [c for c in members.columns if c in ("node", "rep", "below")]
+    of = members.select(*own).join(labels.toDF("rep", "component"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     of = stored(of, "members")
     nodes = stored(of.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"),
@@ -243,11 +254,11 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _leaf_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Plausible pairs (a, b) of different components within each small node."""
-    rows = members.join(classes.select("rep", "n_shingles", "sig"), "rep")
+    rows = members.select("node", "rep", "component").join(classes.select("rep", "n_shingles", "low"), "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
-        sig, n, rep, comp = _matrix(t["sig"]), *(t[c].to_numpy() for c in ("n_shingles", "rep", "component"))
+        sig, n, rep, comp = _matrix(t["low"]), *(t[c].to_numpy() for c in ("n_shingles", "rep", "component"))
         a, b = [], []
         for i in range(len(rep) - 1):
             others = i + 1 + np.flatnonzero(comp[i + 1:] != comp[i])
@@ -291,6 +302,7 @@ def _block_links(members: DataFrame, folder: str, places: DataFrame) -> DataFram
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> pa.Table:
+        release()
         sets, rep, comp = _sets(t), t["rep"].to_numpy(), t["component"].to_numpy()
         second = t["second"].to_numpy(zero_copy_only=False)
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(rep)),) * 2
@@ -312,9 +324,9 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
     them, if they are stored already."""
     rows = stored(_sketches(docs), "sketches")
     full = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"),
+    classes = stored(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "low")).alias("x"),
                                              F.count("*").alias("n"))
-                     .select("key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles"), "x.sig", "n"), "classes")
+                     .select("key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles"), "x.sig", "x.low", "n"), "classes")
     # rows that share a doc_id are one document: their classes are linked
     same = full.select("doc_id", "key").join(classes.select("key", "rep"), "key").where("doc_id <> rep") \
         .select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -335,7 +347,7 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
             if not large.limit(1).count():
                 break
             if level < LEVELS:
-                members = stored(_shared(_children(large, classes)).select("node", "rep"), "members")
+                members = stored(_shared(large.select("rep", F.inline("below"))).drop("n", "first"), "members")
             else:
                 links = stored(links.union(_block_links(large, folder, places).distinct()), "links")
         if pairs.limit(1).count():
