@@ -50,6 +50,7 @@ BRANCHES = 2
 LEAF = 128
 LEVELS = 1
 BLOCK = 768
+BLOCK_ITEMS = 1 << 21
 ROUNDS = ((0, 0), (1, 3), (4, TREES - 1))
 MARGIN = 4.5
 STAR_CHUNK = 256
@@ -271,29 +272,47 @@ def _leaf_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("node").applyInArrow(compare, "a long, b long")
 
 
-def agreements(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all intersections between two lists of sets, over the items that both lists hold."""
-    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    out = np.zeros((len(left), len(right)), np.float32)
-    for c in range(0, len(shared), columns):
-        part = shared[c:c + columns]
-        sides = []
-        for sets in (left, right):
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for i, s in enumerate(sets):
-                at = np.searchsorted(part, s)
-                at = at[at < len(part)]
-                m[i, at[np.isin(part[at], s, assume_unique=False)]] = 1
-            sides.append(m)
-        out += sides[0] @ sides[1].T
-    return out.astype(np.int64)
-
-
-def _block_links(members: DataFrame, folder: str, places: DataFrame) -> DataFrame:
-    """Links (a, b) of different components within large nodes: every pair of blocks of about BLOCK classes
-    compares full sets, and only links leave it."""
-    n = F.ceil(F.col("n") / BLOCK)
-    own = members.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("rep"), n))
+def agreements(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048, items: int = 1 << 17) -> np.ndarray:
+    """Sizes of all intersections between two lists of sorted sets. The hashes are worked off in ranges that hold
+    about so many items of both lists, and the items that two sets share in slices of so many columns, so memory
+    beyond the sets and the result doesn't grow with them."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    ranges = max(1, -(-sum(len(s) for side in (left, right) for s in side) // items))
+    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [[[0, *np.searchsorted(s, edges), len(s)] for s in side] for side in (left, right)]
+    for r in range(ranges):
+        held = []
+        for side, cut in zip((left, right), cuts, strict=True):
+            parts = [s[c[r]:c[r + 1]] for s, c in zip(side, cut, strict=True)]
+            held.append((np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])))
+        shared = np.intersect1d(held[0][0], held[1][0])
+        if left is right:  # items of one set alone count for that set only, see below
+            found, times = np.unique(held[0][0], return_counts=True)
+            shared = found[times > 1]
+        if not len(shared):
+            continue
+        at = [np.searchsorted(shared, x) for x, _ in held]
+        at = [np.where(shared[np.minimum(k, len(shared) - 1)] == x, k, -1) for k, (x, _) in zip(at, held, strict=True)]
+        for c in range(0, len(shared), columns):
+            sides = []
+            for k, (_, row), side in zip(at, held, (left, right), strict=True):
+                mine = (k >= c) & (k < c + columns)
+                m = np.zeros((len(side), min(columns, len(shared) - c)), np.float32)
+                m[row[mine], k[mine] - c] = 1
+                sides.append(m)
+            out += (sides[0] @ sides[1].T).astype(np.int64)
+    if left is right:
+        np.fill_diagonal(out, [len(s) for s in left])
+    return out
+
+
+def _block_links(members: DataFrame, classes: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+    """Links (a, b) of different components within large nodes: every pair of blocks of about BLOCK classes, or
+    fewer if they hold more than BLOCK_ITEMS shingles, compares full sets, and only links leave it."""
+    sized = members.join(classes.select("rep", "n_shingles"), "rep")
+    blocks = stored(sized.groupBy("node").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(
+        F.sum("n_shingles") / BLOCK_ITEMS)).alias("blocks")), "blocks-of-nodes")
+    own = members.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).alias("second"), "rep", "component")
@@ -308,7 +327,8 @@ def _block_links(members: DataFrame, folder: str, places: DataFrame) -> DataFram
         left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(len(rep)),) * 2
         if not len(left):
             return schema.empty_table()
-        both = agreements([sets[i] for i in left], [sets[i] for i in right])
+        one = [sets[i] for i in left]
+        both = agreements(one, [sets[i] for i in right] if second.any() else one)
         size = np.array([len(s) for s in sets])
         union = size[left][:, None] + size[right] - both
         x, y = np.nonzero((100 * both >= PERCENT * union) & (comp[left][:, None] != comp[right]))
@@ -349,7 +369,7 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
             if level < LEVELS:
                 members = stored(_shared(large.select("rep", F.inline("below"))).drop("n", "first"), "members")
             else:
-                links = stored(links.union(_block_links(large, folder, places).distinct()), "links")
+                links = stored(links.union(_block_links(large, classes, folder, places).distinct()), "links")
         if pairs.limit(1).count():
             links = stored(links.union(_confirmed(pairs, folder, places)), "links")
         labels = components(links)
