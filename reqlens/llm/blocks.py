@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from reqlens.llm.common import TaskFile, open_file, release, shuffle_partitions,
 
 SLICE_BYTES = 1 << 22
 BLOCK_BYTES = 1 << 25
+BLOCKS_PER_TASK = 16
 
 
 def store_blocks(docs: DataFrame, *also: str) -> tuple[str, DataFrame]:
@@ -73,8 +75,10 @@ def block_slices(folder: str, blocks: pa.Table) -> Iterator[tuple[int, pa.Record
 
 def by_block(blocks: DataFrame, rows: DataFrame):
     """The cogroup of the blocks and the rows by ``block``. The number of partitions is stated, since the few
-    bytes of a place stand for a whole file."""
-    n = shuffle_partitions(blocks.sparkSession)
+    bytes of a place stand for a whole file: two for each block up to the session's number, of which many are
+    empty, and no more than about BLOCKS_PER_TASK blocks in one beyond it."""
+    k = blocks.count()
+    n = max(1, min(2 * k, shuffle_partitions(blocks.sparkSession)), k // BLOCKS_PER_TASK)
     others = rows.withColumnRenamed("block", "of")
     return blocks.repartition(n, "block").groupBy("block").cogroup(others.repartition(n, "of").groupBy("of"))
 
@@ -89,19 +93,22 @@ def without_rows(folder: str, places: DataFrame, gone: DataFrame, schema: Struct
     return by_block(places.select("block").distinct(), gone.select("block", "row")).applyInArrow(keep, schema)
 
 
-def texts_of(folder: str, wanted: DataFrame) -> DataFrame:
-    """doc_id, text of the places (block, row, doc_id) ``wanted``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def packed_texts_of(folder: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, z (the text, compressed; null: empty) of the places (block, row, doc_id) ``wanted``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
 
     def fetch(own: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        row, parts = rows["row"].to_numpy(), []
+        row, ids, z = rows["row"].to_numpy(), [], []
+        press = zstandard.ZstdCompressor(level=3).compress
         for first, b in block_slices(folder, own):
             mine = np.flatnonzero((row >= first) & (row < first + b.num_rows))
-            text = b.column("text").take(pa.array(row[mine] - first)).cast(pa.string())
-            parts.append(pa.table([rows["doc_id"].take(pa.array(mine)).cast(pa.int64()), text], schema=schema))
-        return pa.concat_tables(parts)
+            text = b.column("text").take(pa.array(row[mine] - first))
+            z += [press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in text]
+            ids.append(mine)
+        return pa.table([rows["doc_id"].take(pa.array(np.concatenate(ids))).cast(pa.int64()),
+                         pa.array(z, pa.binary())], schema=schema)
 
     return by_block(wanted.select("block").distinct(), wanted.select("block", "row", "doc_id")).applyInArrow(
-        fetch, "doc_id long, text string")
+        fetch, "doc_id long, z binary")

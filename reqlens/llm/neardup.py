@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.blocks import store_blocks, texts_of, without_rows
+from reqlens.llm.blocks import packed_texts_of, store_blocks, without_rows
 from reqlens.llm.common import arrow_rows, release, remembered, stored, table, tidied
 
 SHINGLE = 5
@@ -183,16 +183,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _packed_texts(vertices: DataFrame, folder: str, places: DataFrame) -> DataFrame:
     """doc_id, z: the compressed texts of the documents (doc_id), fetched from their block files."""
-    packed = pa.schema([("doc_id", pa.int64()), ("z", pa.binary())])
-
-    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            texts = [z((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary())], schema=packed)
-
     wanted = stored(places.join(vertices, "doc_id", "left_semi"), "wanted")
-    return stored(texts_of(folder, wanted).mapInArrow(tidied(press), "doc_id long, z binary"), "texts")
+    return stored(packed_texts_of(folder, wanted), "texts")
 
 
 def _sets(t: pa.Table) -> list[np.ndarray]:
