@@ -55,7 +55,8 @@ NOT_WORD_AFTER = r"(?![\p{L}\p{N}_])"
 # digit.  (The abbreviation guard of the original splitter never fires, so the
 # parity splitter has none; ``protect_abbrev`` adds a working one.)
 SENT_SPLIT = r"(?<=[.;:]) (?=[A-Z0-9])"
-ABBREVIATIONS = ("e.g.", "i.e.", "vs.", "Fig.", "No.", "vol.")
+# The default of ``protect_abbrev``: short forms that a capital or number often follows.
+ABBREVIATIONS = ("approx.", "cf.", "ch.", "e.g.", "Eq.", "Fig.", "i.e.", "No.", "Ref.", "Sec.", "vs.")
 
 
 def _lit(s: str) -> str:
@@ -71,7 +72,7 @@ def split_sentences(c: Column, protect_abbrev: bool = False) -> Column:
     """Array of sentences of a block (whitespace collapsed first)."""
     pattern = SENT_SPLIT
     if protect_abbrev:
-        guard = "".join(f"(?<!{_lit(a)})" for a in ABBREVIATIONS)
+        guard = "".join(f"(?<!{NOT_WORD_BEFORE}{_lit(a)})" for a in ABBREVIATIONS)
         pattern = guard + pattern
     return F.split(collapse_ws(c), pattern)
 

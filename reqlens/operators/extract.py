@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws, keep_fragment, split_sentences
 from ..schema import BODY_TYPES, DOC_EXTENSIONS, HEADER_TYPES, MIN_SENTENCE_CHARS, PREAMBLE
+from .rank import ordered_number
 
 # --------------------------------------------------------------------------- #
 # Sentences
@@ -198,8 +199,6 @@ def discover_documents(spark, raw_dir: str, extensions=DOC_EXTENSIONS) -> DataFr
              .filter(F.col("ext").isin(*extensions)))
     names = files.select("path")
     if names.isEmpty():
-        raise FileNotFoundError(f"No documents found in {raw_dir}")
-    w = Window.orderBy("path")  # one row per file (no content): a narrow list
-    order = names.select("path", (F.row_number().over(w) - 1).alias("doc_ord"))
-    return (files.join(order, "path")
+        raise FileNotFoundError(f"{raw_dir} holds no file of the types {', '.join(extensions)}")
+    return (files.join(ordered_number(names, "path", "doc_ord"), "path")
                  .withColumn("source", F.regexp_extract("path", r"([^/]+)$", 1)))

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # A small table is broadcast only when its row count has a proven bound.
 BROADCAST_ROW_BOUND = 1_000_000
 
@@ -84,5 +86,19 @@ def bucketed_prefix_sum(df: DataFrame, group_cols: list[str], bucket: Column,
     return res.drop(b, *["_o_" + c for c in sum_cols])
 
 
+def ordered_number(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(col, out): the 0-based number of every distinct value in ascending
+    order.  The values are range-sorted by all tasks and stored with their
+    partition-wise ids; only the partitions' row counts pass one window."""
+    ids = cut_lineage(df.select(col).distinct().orderBy(col).select(
+        col, F.monotonically_increasing_id().alias("_id")))  # id = partition << 33 | row
+    d = ids.select(col, F.shiftright("_id", 33).alias("_part"),
+                   F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return d.join(offsets, "_part").select(col, (F.col("_off") + F.col("_row")).alias(out))
+
+
 def hex_bucket(hex_col: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")

@@ -61,6 +61,9 @@ def test_split_sentences(spark, text, parts):
 def test_protect_abbrev(spark):
     out = _one(spark, lambda c: split_sentences(c, protect_abbrev=True), "See Fig. 5 here. Next one")
     assert out == ["See Fig. 5 here.", "Next one"]
+    # an abbreviation is a word of its own
+    out = _one(spark, lambda c: split_sentences(c, protect_abbrev=True), "Check the revs. Next vs. Previous")
+    assert out == ["Check the revs.", "Next vs. Previous"]
 
 
 def test_fragment_filter(spark):
