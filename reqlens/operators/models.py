@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .tfidf import TfidfModel
 
 
@@ -65,9 +66,9 @@ def nb_fit(weights: DataFrame, labels: DataFrame, key_cols: list[str], y_col: st
     fc = (weights.join(lab, key_cols).groupBy("term")
                  .pivot("_y", classes).agg(F.sum("weight")))
     # one row per vocabulary term, read twice (class totals, then log-probs)
-    wide = vocab.select("term").join(fc, "term", "left").select(
+    wide = stored(vocab.select("term").join(fc, "term", "left").select(
         "term", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(f"f_{i}") for i, c in enumerate(classes)]
-    ).persist()
+    ), "class-terms")
     # k + 2 numbers (class totals, vocabulary size, class counts): collected once
     row = wide.agg(*[F.sum(f"f_{i}").alias(f"t_{i}") for i in range(k)],
                    F.count(F.lit(1)).alias("v")).first()

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_expr, tokens_expr
+from ..session import stored
 from .rank import bucketed_rank, hex_bucket
 
 
@@ -117,10 +118,9 @@ def fit_tf(tf: DataFrame, n, p: TfidfParams = DEFAULTS) -> TfidfModel:
 
 def fit_transform(df: DataFrame, key_cols: list[str], text_col: str = "text",
                   p: TfidfParams = DEFAULTS) -> tuple[TfidfModel, DataFrame]:
-    """Fit on ``df`` and weight the same rows.  Both steps read one
-    term-frequency subtree, so Spark reuses its shuffle (tokenising once)
-    instead of caching millions of (doc, term) rows."""
-    tf = term_freq(df, key_cols, text_col, p)
+    """Fit on ``df`` and weight the same rows.  The term frequencies are stored
+    in the shared folder, so both steps tokenise once between them."""
+    tf = stored(term_freq(df, key_cols, text_col, p), "term-freq")
     n = df.agg(F.count(F.lit(1)).cast("double")).scalar()
     m = fit_tf(tf, n, p)
     return m, m.transform_tf(tf, key_cols)

@@ -340,7 +340,7 @@ def q_md_records(spark, sf_dir):
 from ..operators import evaluate as E  # noqa: E402
 from ..operators import models as M  # noqa: E402
 from ..operators import tfidf as T  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_lineage, stored  # noqa: E402
 
 # Query configuration: bigrams, sublinear tf, min_df 2, max_df 0.9.
 TFIDF_Q = T.TfidfParams(ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear_tf=True)
@@ -399,12 +399,13 @@ NB_DOCS_SQL = ("WITH " + DOC_SPLIT_SQL + ", " +
 
 def fit_transform_split(sp, keys, params):
     """Tokenise every row once: fit the vocabulary on the train ∪ val rows'
-    term frequencies (one shared, reused shuffle), weight all rows with it.
-    The weights feed both the NB fit and the scoring, so they are persisted."""
-    tf = T.term_freq(sp, keys + ["split"], "text", params)
+    term frequencies, weight all rows with it.  Frequencies, vocabulary and
+    weights are read more than once, so they are stored in the shared folder."""
+    tf = stored(T.term_freq(sp, keys + ["split"], "text", params), "term-freq")
     n = sp.filter(F.col("split") != "test").count()
     m = T.fit_tf(tf.filter(F.col("split") != "test"), n, params)
-    return m, m.transform_tf(tf.drop("split"), keys).persist()
+    m = T.TfidfModel(m.params, stored(m.vocab, "vocab"), m.n_docs)
+    return m, stored(m.transform_tf(tf.drop("split"), keys), "weights")
 
 
 def nb_documents(spark, sf_dir):
