@@ -6,9 +6,9 @@ smallest doc_id represents from there on; all else runs over classes.
 Each class has SIGNATURE minwise tokens. A tree starts by dealing the classes to nodes by the token at one
 chosen coordinate; a node that holds more than LEAF classes chooses BRANCHES coordinates of its own and
 deals its classes to a child for each token there. Two sets of similarity s agree at a coordinate with
-probability s, so at 0.85 a tree of one level misses a pair with probability 0.15, and one of any depth
-with 0.18 at most (the branching process (0.15 + 0.85 q)^2 = q dies out with q = 0.031); TREES independent
-trees miss it with under 1e-7.
+probability s. At the general limit, 0.8, a tree of one level misses a pair with probability 0.2, and one of any
+depth with 0.25 at most (the branching process (0.2 + 0.8 q)^2 = q dies out with q = 0.0625); TREES independent
+trees miss it with under 1e-6. At 0.85, the limit of op5, it is 0.15, 0.18 at most (q = 0.031), and under 1e-7.
 
 First every class is compared with the smallest class of its root node (a star, linear in the node), and the
 links found give components. Then the trees are worked off in ROUNDS, and only nodes that still hold two
@@ -43,6 +43,8 @@ from reqlens.llm.blocks import packed_texts_of, store_blocks, without_rows
 from reqlens.llm.common import arrow_rows, release, remembered, stored, table, tidied
 
 SHINGLE = 5
+#: Sets are linked from this similarity on, in per cent; op5 states a limit of its own.
+LIMIT = 80
 PERCENT = 85
 SIGNATURE = 128
 TREES = 10
@@ -94,16 +96,16 @@ def signature(items: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def could_link(sizes_a: np.ndarray, sizes_b: np.ndarray, agree: np.ndarray) -> np.ndarray:
+def could_link(sizes_a: np.ndarray, sizes_b: np.ndarray, agree: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes, whose signatures agree at so many coordinates, may be linked."""
-    s = PERCENT / 100
+    s = percent / 100
     least = (s - MARGIN * (s * (1 - s) / SIGNATURE) ** 0.5) * SIGNATURE
-    return (agree >= least) & (100 * np.minimum(sizes_a, sizes_b) >= PERCENT * np.maximum(sizes_a, sizes_b))
+    return (agree >= least) & (100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(nodes, "node")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link."""
     side = classes.select("rep", "n_shingles", "low")
     both = pairs.join(side.toDF("a", "n_a", "low_a"), "a").join(side.toDF("b", "n_b", "low_b"), "b")
@@ -175,7 +177,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for x in batches:
             if x.num_rows:
                 agree = (_matrix(x["low_a"]) == _matrix(x["low_b"])).sum(axis=1)
-                ok = pa.array(could_link(x["n_a"].to_numpy(), x["n_b"].to_numpy(), agree))
+                ok = pa.array(could_link(x["n_a"].to_numpy(), x["n_b"].to_numpy(), agree, percent))
                 yield pa.RecordBatch.from_arrays([x["a"].filter(ok), x["b"].filter(ok)], schema=schema)
 
     return both.select("a", "b", "n_a", "n_b", "low_a", "low_b").mapInArrow(tidied(run), "a long, b long")
@@ -192,7 +194,7 @@ def _sets(t: pa.Table) -> list[np.ndarray]:
     return [shingles(unpress(z).decode("utf-8", "surrogatepass")) for z in t["z"].to_pylist()]
 
 
-def _confirmed(pairs: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, folder: str, places: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets, which are made from the whole texts again."""
     pairs = stored(pairs.distinct(), "pairs")
     # the other ends of a are cut into chunks, each of which gets the text of a once
@@ -209,7 +211,7 @@ def _confirmed(pairs: DataFrame, folder: str, places: DataFrame) -> DataFrame:
         a = one["one"][0].as_py() if one.num_rows else None
         hits = set()
         for b, t in zip(others["b"].to_pylist(), _sets(others), strict=True):
-            if any(linked(s, t) for s in sets):
+            if any(linked(s, t, percent) for s in sets):
                 hits.add(b)
         return pa.table([pa.array([a] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], schema=found)
 
@@ -245,7 +247,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(of.join(nodes.select("node", "n"), "node"), "open")
 
 
-def _leaf_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _leaf_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a, b) of different components within each small node."""
     rows = members.select("node", "rep", "component").join(classes.select("rep", "n_shingles", "low"), "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -255,7 +257,7 @@ def _leaf_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         a, b = [], []
         for i in range(len(rep) - 1):
             others = i + 1 + np.flatnonzero(comp[i + 1:] != comp[i])
-            hit = rep[others[could_link(n[others], n[i], (sig[others] == sig[i]).sum(axis=1))]]
+            hit = rep[others[could_link(n[others], n[i], (sig[others] == sig[i]).sum(axis=1), percent)]]
             a.append(np.minimum(hit, rep[i]))
             b.append(np.maximum(hit, rep[i]))
         both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
@@ -298,7 +300,8 @@ def agreements(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2
     return out
 
 
-def _block_links(members: DataFrame, classes: DataFrame, folder: str, places: DataFrame) -> DataFrame:
+def _block_links(members: DataFrame, classes: DataFrame, folder: str, places: DataFrame,
+                 percent: int) -> DataFrame:
     """Links (a, b) of different components within large nodes: every pair of blocks of about BLOCK classes, or
     fewer if they hold more than BLOCK_ITEMS shingles, compares full sets, and only links leave it."""
     sized = members.join(classes.select("rep", "n_shingles"), "rep")
@@ -323,7 +326,7 @@ def _block_links(members: DataFrame, classes: DataFrame, folder: str, places: Da
         both = agreements(one, [sets[i] for i in right] if second.any() else one)
         size = np.array([len(s) for s in sets])
         union = size[left][:, None] + size[right] - both
-        x, y = np.nonzero((100 * both >= PERCENT * union) & (comp[left][:, None] != comp[right]))
+        x, y = np.nonzero((100 * both >= percent * union) & (comp[left][:, None] != comp[right]))
         p, q = rep[left[x]], rep[right[y]]
         pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0)
         return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -331,9 +334,9 @@ def _block_links(members: DataFrame, classes: DataFrame, folder: str, places: Da
     return rows.groupBy("node", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs``; blocks: what ``store_blocks`` gave for
-    them, if they are stored already."""
+def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None, percent: int = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``, linked from a similarity of ``percent`` on;
+    blocks: what ``store_blocks`` gave for them, if they are stored already."""
     rows = stored(_sketches(docs), "sketches")
     full = rows.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "low")).alias("x"),
@@ -347,13 +350,13 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
     folder, places = blocks or store_blocks(docs.select("doc_id", "text"))
     roots = stored(_shared(_roots(classes)), "members")
     star = roots.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(many.union(_confirmed(_plausible(star, classes), folder, places)), "links")
+    links = stored(many.union(_confirmed(_plausible(star, classes, percent), folder, places, percent)), "links")
     labels = components(links)
     for first, last in ROUNDS:  # the links of earlier trees close most nodes of the later ones
         members, pairs = roots.where(F.col("tree").between(first, last)), None
         for level in range(LEVELS + 1):
             opened = _open(members, labels)
-            found = stored(_leaf_pairs(opened.where(F.col("n") <= LEAF), classes).distinct(), "leaves")
+            found = stored(_leaf_pairs(opened.where(F.col("n") <= LEAF), classes, percent).distinct(), "leaves")
             pairs = found if pairs is None else pairs.union(found)
             large = opened.where(F.col("n") > LEAF)
             if not large.limit(1).count():
@@ -361,9 +364,10 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
             if level < LEVELS:
                 members = stored(_shared(large.select("rep", F.inline("below"))).drop("n", "first"), "members")
             else:
-                links = stored(links.union(_block_links(large, classes, folder, places).distinct()), "links")
+                found = _block_links(large, classes, folder, places, percent).distinct()
+                links = stored(links.union(found), "links")
         if pairs.limit(1).count():
-            links = stored(links.union(_confirmed(pairs, folder, places)), "links")
+            links = stored(links.union(_confirmed(pairs, folder, places, percent)), "links")
         labels = components(links)
 
     of_class = classes.join(labels.toDF("rep", "component_id"), "rep", "left") \
@@ -379,12 +383,12 @@ def near_duplicates(docs: DataFrame, blocks: tuple[str, DataFrame] | None = None
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their group."""
+def keep_one(docs: DataFrame, percent: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that represent their group, linked from a similarity of ``percent`` on."""
     folder, places = blocks = store_blocks(docs)
-    gone = near_duplicates(docs, blocks).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, blocks, percent).where(~F.col("kept")).select("doc_id").distinct()
     return without_rows(folder, places, stored(places.join(gone, "doc_id", "left_semi"), "duplicates"), docs.schema)
 
 
 def op5_chosen_path_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT)
