@@ -1,5 +1,6 @@
 """Parts of the operators that need no Spark session, against brute force and the libraries."""
 import io
+import math
 import random
 import re
 
@@ -147,6 +148,14 @@ def test_shingles_and_agreements():
             assert neardup.linked(sets[i], sets[j]) == (100 * len(a & b) >= 85 * len(a | b))
 
 
+def test_estimate_rejects_hardly_any_link():
+    n = np.array([1000])
+    for percent in (neardup.LIMIT, neardup.PERCENT):
+        s, k = percent / 100, neardup.SIGNATURE
+        rejected = [a for a in range(k + 1) if not neardup.could_link(n, n, np.array([a]), percent)[0]]
+        assert sum(math.comb(k, a) * s**a * (1 - s)**(k - a) for a in rejected) < 1e-7
+
+
 def test_sorted_lists_equal_brute_force():
     rng = np.random.default_rng(3)
     for n, d, spread in ((1, 3, 5), (6, 4, 2), (300, 8, 3), (1500, 16, 50), (40, 0, 1)):
