@@ -10,19 +10,21 @@ the shared folder. A block asks once for the distinct n-grams it holds; the requ
 counts, sharded by n-gram, order by order; and each block gets back the probabilities of its own n-grams,
 with which it scores its documents.
 
-A document is rejected when its perplexity exceeds what its language allows: log-perplexities of trusted
-documents that the model has not been trained on (a third is held out) give quartiles by language and
-length class, and the limit is the upper quartile plus FENCE interquartile ranges, SLACK, and SHORT over
-the square root of the text's length, since one number or name moves the mean of a short text.
+A document is rejected when its perplexity exceeds what its language allows: the limit is the QUANTILE of the
+log-perplexities of trusted documents that the model has not been trained on (a third is held out), by language
+and length class. SHORT over the square root of the text's length is taken off before and added to the limit, as
+one number or name moves the mean of a short text. Of fewer than 1 / (1 - QUANTILE) documents it is the largest.
 
 Defined cases: a null or empty text has no units, perplexity null, and is kept; a language without enough
-held-out documents (or a null language) takes the quartiles of all languages; without any trusted document
-the model is uniform and all are kept; a null doc_id is scored like any other; rows that repeat a doc_id are
+held-out documents (or a null language) takes the limit of all languages; with fewer than MIN_HELD_OUT held-out documents
+in all, the limit is what a uniform draw of the known units would cost, with the same term for short texts;
+without any trusted document the model is uniform and all are kept; a null doc_id is scored like any other; rows that repeat a doc_id are
 scored one by one, and a label of the id holds for all of them; a document with labels of both kinds is
 trusted by any 1; an empty table gives no rows; filtering keeps all columns and other columns are not read.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +39,8 @@ from reqlens.llm.common import stored, table
 ORDER = 4
 UNIT_BITS = 16
 HELD_OUT = 3  # one trusted document in so many sets limits instead of training
-FENCE = 3.0
-SLACK = 0.15
-SHORT = 2.0
+QUANTILE = 0.995
+SHORT = 0.5
 MIN_HELD_OUT = 20
 #: Length classes by the number of units: short texts vary more.
 LENGTHS = (0, 64, 128, 256, 512, 1024, 4096)
@@ -215,21 +216,20 @@ def classify(docs: DataFrame, labels: DataFrame) -> tuple[str, DataFrame]:
         "length", _length_class(F.col("n_units"))), "perplexity")
     sample = scores.where("log_ppl IS NOT NULL").join(trusted.where(held), "doc_id", "left_semi")
 
-    def quartiles(*by: str) -> DataFrame:
-        q = F.percentile_approx("log_ppl", F.lit([0.25, 0.5, 0.75]), 10_000)
-        out = sample.groupBy(*by).agg(q.alias("q"), F.count("*").alias("n")) if by else \
-            sample.agg(q.alias("q"), F.count("*").alias("n"))
-        limit = F.col("q")[2] + FENCE * (F.col("q")[2] - F.col("q")[0]) + SLACK
-        return out.where(F.col("n") >= MIN_HELD_OUT).select(*by, limit.alias("limit_" + "_".join(by)))
-
-    everywhere = quartiles().collect()  # one row
-    limits = scores.join(stored(quartiles("lang", "length"), "limits"), ["lang", "length"], "left") \
-        .join(stored(quartiles("lang"), "limits"), "lang", "left") \
-        .join(stored(quartiles("length"), "limits"), "length", "left")
+    short = F.lit(SHORT) / F.sqrt(F.greatest("n_units", F.lit(1)))
+
+    def quantiles(*by: str) -> DataFrame:
+        q = F.percentile_approx(F.col("log_ppl") - short, QUANTILE, 10_000)
+        out = sample.groupBy(*by).agg(q.alias("limit_" + "_".join(by)), F.count("*").alias("n"))
+        return out.where(F.col("n") >= MIN_HELD_OUT).drop("n")
+
+    everywhere = quantiles().collect()  # one row
+    limits = scores.join(stored(quantiles("lang", "length"), "limits"), ["lang", "length"], "left") \
+        .join(stored(quantiles("lang"), "limits"), "lang", "left") \
+        .join(stored(quantiles("length"), "limits"), "length", "left")
     # a class of its own sets its limit; a thin one takes the wider of its language's and its length's
     limit = F.coalesce("limit_lang_length", F.greatest("limit_lang", "limit_length"),
-                       F.lit(everywhere[0][0] if everywhere else None).cast("double"))
-    limit = limit + F.lit(SHORT) / F.sqrt(F.greatest("n_units", F.lit(1)))
+                       F.lit(everywhere[0][0] if everywhere else math.log(model.n_units))) + short
     return folder, limits.select("block", "row", "doc_id", "n_units", "log_ppl", limit.alias("limit")).withColumn(
         "kept", F.coalesce(F.col("log_ppl") <= F.col("limit"), F.lit(True)))
 

@@ -271,3 +271,25 @@ def test_limits_of_near_duplicates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs).collect()) == [0, 10]
     assert neardup.near_duplicates(docs, percent=neardup.PERCENT).where("kept").count() == 4
+
+
+def test_quality_limits(spark):
+    """Limits recomputed from the held-out trusted documents; repeated foreign words and random units go."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("aeinrst") for _ in range(5)) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(30)), "en") for i in range(150)]
+    rows += [(200, "Foxy " * 36, "en"), (201, "".join(rnd.choice("aeinrst ") for _ in range(179)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
+    held = {r["doc_id"] for r in labels.where(f"pmod(xxhash64(doc_id, 7), {kneser_ney.HELD_OUT}) = 0").collect()}
+    got = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels)[1].collect()}
+    short = {i: kneser_ney.SHORT / r["n_units"] ** 0.5 for i, r in got.items()}
+    most = max(got[i]["log_ppl"] - short[i] for i in held)
+    assert len(held) >= kneser_ney.MIN_HELD_OUT
+    for i, r in got.items():
+        assert r["limit"] == pytest.approx(most + short[i]) and r["kept"] == (i < 150)
+    few = {r["doc_id"]: r for r in kneser_ney.classify(docs, labels.where("doc_id < 20"))[1].collect()}
+    trained = "".join(t for i, t, _ in rows if i < 20 and i not in held)
+    for i, r in few.items():
+        assert r["limit"] == pytest.approx(math.log(len(set(trained)) + 1) + short[i])
+    assert not few[200]["kept"] and all(few[i]["kept"] for i in range(150))
