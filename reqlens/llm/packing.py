@@ -3,8 +3,8 @@
 Every document becomes its ids and an end id. Whole windows of SEQUENCE ids are sequences of their own as
 they are; what is left of each document, a fragment shorter than a window, is dealt to a shard by a hash.
 Each shard keeps an inverted index of its fragments with BM25 weights, whose document frequencies and mean
-length come from all fragments of the corpus. The longest unused fragment is the seed of a sequence: its
-QUERY_TERMS rarest ids are looked up, and its best unused neighbours fill the window in order of their
+length come from all fragments of the corpus. The longest unused fragment is the seed of a sequence: all its
+ids are looked up, and its best unused neighbours, as many as it takes, fill the window in order of their
 scores. Where no neighbour fits any more, the best one that is left is cut: its head fills the window to
 the last id and its rest stays in the index. A seed without neighbours takes the longest fragments. So only
 the last sequence of a shard can be padded.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ from reqlens.llm.wordbpe import END_ID, encoder, word_tokenizer
 
 SEQUENCE = 2048
 SHARD_IDS = 1 << 20
-QUERY_TERMS = 32
-NEIGHBOURS = 64
+QUERY_TERMS = None  # all distinct ids of a seed are looked up
+STEP = 64  # neighbours are sorted in steps that grow from this many
+DENSE = 8  # ids in more than one of so many fragments of a shard are kept as rows over all of them
 K1, B = 1.2, 0.75
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
@@ -58,26 +59,45 @@ class Index:
         term, self.fragment = np.divmod(pairs, len(fragments))
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.fragment] / mean))
         self.starts = np.searchsorted(term, np.arange(len(idf) + 1))
-        by_fragment = np.lexsort((-idf[term], self.fragment))
+        df = np.diff(self.starts)
+        hot = np.flatnonzero(df * DENSE > len(fragments))
+        self.row = np.full(len(idf), -1)
+        self.row[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), len(fragments)))
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], self.fragment[often]] = self.weight[often]
+        by_fragment = np.argsort(self.fragment, kind="stable")
         self.terms = term[by_fragment]
         self.term_starts = np.searchsorted(self.fragment[by_fragment], np.arange(len(fragments) + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The best unused fragments for the seed's rarest terms, best first."""
-        at = self.term_starts[seed]
-        terms = self.terms[at:min(self.term_starts[seed + 1], at + QUERY_TERMS)]
-        if not len(terms):
-            return np.zeros(0, np.int64)
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.fragment[s] for s in spans]),
-                            np.concatenate([self.weight[s] for s in spans]), len(unused))
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The score of each unused fragment for all terms of the seed."""
+        terms = self.terms[self.term_starts[seed]:self.term_starts[seed + 1]]
+        hot = self.row[terms] >= 0
+        score = self.dense[self.row[terms[hot]]].sum(axis=0)
+        starts = self.starts[terms[~hot]]
+        n = self.starts[terms[~hot] + 1] - starts
+        at = np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score += np.bincount(self.fragment[at], self.weight[at], len(unused))
         score[~unused] = 0
-        if (score > 0).sum() > NEIGHBOURS:  # a longer list could not fit a window
-            best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-        else:
-            best = np.flatnonzero(score)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))]
+        return score
+
+    def nearest(self, seed: int, unused: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+        """The unused fragments that share a term with the seed, best first, in growing steps; before each, those
+        that are no longer wanted are left out."""
+        score, k = self.scores(seed, unused), STEP
+        found = np.flatnonzero(score)
+        while len(found := found[wanted(found)]):
+            s = score[found]
+            least = np.partition(s, -k)[-k] if k < len(s) else 0
+            best, found = found[s >= least], found[s < least]
+            yield best[np.lexsort((best, -score[best]))]
+            k *= 4
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """All unused fragments that share a term with the seed, best first."""
+        steps = self.nearest(seed, unused, lambda f: np.ones(len(f), bool))
+        return np.concatenate([np.zeros(0, np.int64), *steps])
 
 
 def pack(fragments: list[np.ndarray], idf: np.ndarray, mean: float, size: int = SEQUENCE,
@@ -88,7 +108,7 @@ def pack(fragments: list[np.ndarray], idf: np.ndarray, mean: float, size: int =
     unused = n > 0
     index = Index(fragments, idf, mean)
     longest = np.argsort(-n, kind="stable")
-    at, out = 0, []
+    at, out, room, too_long = 0, [], 0, -1
 
     def next_longest() -> int:
         nonlocal at
@@ -96,21 +116,28 @@ def pack(fragments: list[np.ndarray], idf: np.ndarray, mean: float, size: int =
             at += 1
         return int(longest[at]) if at < len(longest) else -1
 
+    def wanted(f: np.ndarray) -> np.ndarray:
+        """What may still fit, or be the best that doesn't."""
+        return (too_long < 0) | (n[f] - first[f] <= room)
+
     while (seed := next_longest()) >= 0:
         unused[seed] = False
         row, room = [(seed, int(first[seed]), int(n[seed]))], size - int(n[seed] - first[seed])
-        too_long = []
-        for f in map(int, index.neighbours(seed, unused) if room else ()):
-            if n[f] - first[f] <= room:
-                unused[f] = False
-                row.append((f, int(first[f]), int(n[f])))
-                room -= int(n[f] - first[f])
-            else:
-                too_long.append(f)
+        too_long = -1
+        for near in index.nearest(seed, unused, wanted) if room else ():
+            for f, left in zip(near.tolist(), (n[near] - first[near]).tolist(), strict=True):
+                if left <= room:
+                    unused[f] = False
+                    row.append((f, int(first[f]), int(n[f])))
+                    room -= left
+                elif too_long < 0:
+                    too_long = f
+                if not room:
+                    break
             if not room:
                 break
         while room:
-            f = too_long.pop(0) if too_long else next_longest()
+            f, too_long = too_long if too_long >= 0 else next_longest(), -1
             if f < 0:
                 break
             end = min(int(n[f]), int(first[f]) + room)

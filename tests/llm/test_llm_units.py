@@ -214,3 +214,16 @@ def test_bm25_neighbours_equal_brute_force():
                 score[i] = s
         got = index.neighbours(seed, unused).tolist()
         assert set(got) == set(score) and all(score[a] >= score[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_windows_take_all_neighbours_of_a_seed():
+    """More short neighbours than a fixed list holds, which share only the seed's commonest id."""
+    seed = np.arange(1000, 1900)
+    near = [np.array([7, *range(2000 + 10 * i, 2009 + 10 * i)]) for i in range(150)]
+    far = [np.arange(5000 + 800 * i, 5800 + 800 * i) for i in range(4)]
+    fragments = [x.astype("<u2") for x in [np.append(seed, 7), *near, *far]]
+    idf = np.full(10_000, 9.0)
+    idf[7] = 0.1
+    first = packing.pack(fragments, idf, 30.0, 2048)[0]
+    assert [f for f, *_ in first][0] == 0 and sum(e - a for _, a, e in first) == 2048
+    assert all(f <= 150 for f, *_ in first) and len(first) == 116
