@@ -1,7 +1,20 @@
 """The queries of this package by name, and the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
-from reqlens.llm import compression, kneser_ney, neardup, packing, pieces, secrets, sharding, tokenbin, topk, warc
+from reqlens.llm import (
+    compression,
+    exactdup,
+    kneser_ney,
+    merkle,
+    neardup,
+    packing,
+    pieces,
+    secrets,
+    sharding,
+    tokenbin,
+    topk,
+    warc,
+)
 
 QUERIES = {
     "op1_kneser_ney_quality": kneser_ney.op1_kneser_ney_quality,
@@ -14,8 +27,12 @@ QUERIES = {
     "op8_offset_pieces": pieces.op8_offset_pieces,
     "op9_stratified_interleave": sharding.op9_stratified_interleave,
     "op10_nra_top_k": topk.op10_nra_top_k,
+    "op11_postorder_manifest": merkle.op11_postorder_manifest,
+    "op12_chunk_recipes": exactdup.op12_chunk_recipes,
 }
 ORACLE = {
     "op6_warc_round_trip": warc.ORACLE,
     "op10_nra_top_k": topk.ORACLE,
+    "op11_postorder_manifest": merkle.ORACLE,
+    "op12_chunk_recipes": exactdup.ORACLE,
 }
