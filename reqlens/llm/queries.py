@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from reqlens.llm import (
     compression,
+    convtrie,
     exactdup,
     kneser_ney,
     merkle,
@@ -29,10 +30,12 @@ QUERIES = {
     "op10_nra_top_k": topk.op10_nra_top_k,
     "op11_postorder_manifest": merkle.op11_postorder_manifest,
     "op12_chunk_recipes": exactdup.op12_chunk_recipes,
+    "op13_prefix_trie": convtrie.op13_prefix_trie,
 }
 ORACLE = {
     "op6_warc_round_trip": warc.ORACLE,
     "op10_nra_top_k": topk.ORACLE,
     "op11_postorder_manifest": merkle.ORACLE,
     "op12_chunk_recipes": exactdup.ORACLE,
+    "op13_prefix_trie": convtrie.ORACLE,
 }
