@@ -54,6 +54,16 @@ def dedup_first(df: DataFrame, text_col: str = "text", ord_col: str = "ord") ->
     return df.join(keep.select(ord_col), ord_col, "left_semi")
 
 
+def dedup_first_by(df: DataFrame, order_cols: list[str], text_col: str = "text") -> DataFrame:
+    """Exact-text dedup keeping the first row by the ordering columns, compared
+    one after the other (unique together, none null).  The least key of a text
+    is a struct of them, so no key has to fit a packed number; texts are grouped
+    by (md5, length) as in ``dedup_first``."""
+    first = df.groupBy(F.md5(F.col(text_col)).alias("_h"), F.length(F.col(text_col)).alias("_l")).agg(
+        F.min(F.struct(*order_cols)).alias("_k"))
+    return df.join(first.select("_k.*"), order_cols, "left_semi")
+
+
 def apply_override(df: DataFrame, gold: DataFrame, text_col: str = "text",
                    schema: LabelSchema | None = None) -> DataFrame:
     """Gold labels (``text``, ``label``) replace weak labels by exact text;

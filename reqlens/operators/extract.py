@@ -57,6 +57,10 @@ def cued_sentences(documents: DataFrame) -> DataFrame:
                     F.concat(cue_prefix(F.col("doc_id"), F.col("sent_idx")), F.col("text")).alias("text"))
 
 
+#: Type of a block that starts a new page, and the marker that says so in Markdown.
+PAGE_BREAK = "page_break"
+PAGE_BREAK_MARK = "<!-- page break -->"
+
 # --------------------------------------------------------------------------- #
 # Section carry-forward (skew-safe)
 # --------------------------------------------------------------------------- #
@@ -87,6 +91,37 @@ def carry_forward(df: DataFrame, part_cols: list[str], order_col: str, value: Co
     return res.drop("_v", "_chunk", "_in")
 
 
+def provenance_carry(blocks: DataFrame, doc_cols: list[str], order_col: str = "block_idx", chunk: int = 4096) -> DataFrame:
+    """Body blocks with ``section`` (as in ``section_carry``) and ``page``: one
+    more than the page breaks before them in their document.
+
+    Both come from one two-level pass: per chunk of consecutive blocks its last
+    header and its number of breaks, carried into the next chunks, and a window
+    within each chunk.  The blocks are stored first, since both levels read
+    them and extraction is the costly part."""
+    from ..session import stored
+    header = F.when(F.col("block_type").isin(*HEADER_TYPES), F.trim(F.col("text")))
+    d = stored(blocks.select("*", header.alias("_v"), (F.col("block_type") == PAGE_BREAK).cast("long").alias("_p"),
+                             F.floor(F.col(order_col) / chunk).cast("long").alias("_chunk")), "blocks")
+    chunks = d.groupBy(*doc_cols, "_chunk").agg(
+        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order_col))).alias("_lv"), F.sum("_p").alias("_np"))
+    before = Window.partitionBy(*doc_cols).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(*doc_cols, "_chunk", F.last("_lv", ignorenulls=True).over(before).alias("_in"),
+                            F.coalesce(F.sum("_np").over(before), F.lit(0)).alias("_pages"))
+    within = (Window.partitionBy(*doc_cols, "_chunk").orderBy(order_col)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (d.join(carried, [*doc_cols, "_chunk"])
+            .withColumn("section", F.coalesce(F.last("_v", ignorenulls=True).over(within), F.col("_in"), F.lit(PREAMBLE)))
+            .withColumn("page", (F.col("_pages") + F.sum("_p").over(within) + 1).cast("int"))
+            .filter(F.col("block_type").isin(*BODY_TYPES)).drop("_v", "_p", "_chunk", "_in", "_pages"))
+
+
+def first_page(prov: Column) -> Column:
+    """The page of a block from its provenance, an array of structs with
+    ``page_no``: that of the first entry, null without one."""
+    return F.get(prov, F.lit(0)).getField("page_no").cast("int")
+
+
 def section_carry(blocks: DataFrame, doc_cols: list[str], order_col: str = "block_idx") -> DataFrame:
     """Body blocks with ``section`` = nearest preceding header of the same
     document, ``(preamble)`` before the first; headers and other labels drop."""
@@ -116,12 +151,14 @@ def records(body_blocks: DataFrame, doc_cols: list[str], source: Column,
 MD_BLOCK_SPLIT = r"\n\s*\n|\n(?=\s*- |\d+\. |#|\|)"
 
 
-def md_blocks(df: DataFrame, key_cols: list[str], md_col: str = "markdown") -> DataFrame:
+def md_blocks(df: DataFrame, key_cols: list[str], md_col: str = "markdown", page_break: str | None = None) -> DataFrame:
     """Markdown → (keys, block_idx, block_type, text); tables and captions
-    dropped, list markers and note numbers stripped, entities unescaped."""
+    dropped, list markers and note numbers stripped, entities unescaped.
+    Blocks equal to ``page_break``, if given, become type ``page_break``."""
     b = df.select(*key_cols, F.posexplode(F.split(F.col(md_col), MD_BLOCK_SPLIT)).alias("block_idx", "_b"))
     t = F.trim(F.col("_b"))
-    btype = (F.when(t.rlike(r"^#+ "), "section_header")
+    btype = (F.when(t == F.lit(page_break), PAGE_BREAK)
+              .when(t.rlike(r"^#+ "), "section_header")
               .when(t.startswith("|"), "table")
               .when(t.rlike(r"^(Figure|Table) \d+: "), "caption")
               .when(t.startswith("- "), "list_item")
@@ -132,7 +169,7 @@ def md_blocks(df: DataFrame, key_cols: list[str], md_col: str = "markdown") -> D
     text = unescape_md(collapse_ws(body))
     return (b.select(*key_cols, F.col("block_idx").cast("long").alias("block_idx"),
                      btype.alias("block_type"), text.alias("text"))
-             .filter((F.length("text") > 0) & F.col("block_type").isin("section_header", "list_item", "text")))
+             .filter((F.length("text") > 0) & F.col("block_type").isin("section_header", "list_item", "text", PAGE_BREAK)))
 
 
 def unescape_md(c: Column) -> Column:
@@ -147,6 +184,28 @@ def markdown_from_lines(title: Column, text: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), F.regexp_replace(text, "\n", "\n\n"))
 
 
+#: Markup of a text's lines in turn, so that every block type occurs: (Markdown, HTML) before and after the line.
+LINE_MARKUP = ((("## ", ""), ("<h2>", "</h2>")), (("", ""), ("<p>", "</p>")), (("- ", ""), ("<ul><li>", "</li></ul>")),
+               (("1. ", ""), ("<div>", "</div>")), (("| ", " |"), ("<footer>", "</footer>")),
+               (("- a) ", ""), ("<li class=x>", "</li>")), (("Table 1: ", ""), ("<!-- ", " -->")), (("", ""), ("<P>", "<br/>")))
+LINES_PER_PAGE = 3
+
+
+def marked_lines(text: Column, markup: int, page_break: str = "") -> Column:
+    """The lines of a text, each in the markup of its turn, as one document;
+    every LINES_PER_PAGE lines ``page_break`` follows, if given."""
+    turns = F.array(*[F.struct(F.lit(m[markup][0]).alias("a"), F.lit(m[markup][1]).alias("b")) for m in LINE_MARKUP])
+
+    def line(x, i):
+        m = F.get(turns, i % F.lit(len(LINE_MARKUP)))
+        out = F.concat(m["a"], x, m["b"])
+        if not page_break:
+            return out
+        return F.when(i % F.lit(LINES_PER_PAGE) == F.lit(LINES_PER_PAGE - 1), F.concat(out, F.lit(f"\n\n{page_break}"))).otherwise(out)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n\n")
+
+
 # --------------------------------------------------------------------------- #
 # HTML blocks
 # --------------------------------------------------------------------------- #

@@ -340,7 +340,8 @@ def q_md_records(spark, sf_dir):
 from ..operators import evaluate as E  # noqa: E402
 from ..operators import models as M  # noqa: E402
 from ..operators import tfidf as T  # noqa: E402
-from ..session import cut_lineage, stored  # noqa: E402
+from ..operators import variants as V  # noqa: E402
+from ..session import cut_lineage  # noqa: E402
 
 # Query configuration: bigrams, sublinear tf, min_df 2, max_df 0.9.
 TFIDF_Q = T.TfidfParams(ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear_tf=True)
@@ -397,15 +398,13 @@ NB_DOCS_SQL = ("WITH " + DOC_SPLIT_SQL + ", " +
                O.nb_ctes("x", "dtrain", "documents", ["doc_id"], "lang", "lang"))
 
 
-def fit_transform_split(sp, keys, params):
-    """Tokenise every row once: fit the vocabulary on the train ∪ val rows'
-    term frequencies, weight all rows with it.  Frequencies, vocabulary and
-    weights are read more than once, so they are stored in the shared folder."""
-    tf = stored(T.term_freq(sp, keys + ["split"], "text", params), "term-freq")
-    n = sp.filter(F.col("split") != "test").count()
-    m = T.fit_tf(tf.filter(F.col("split") != "test"), n, params)
-    m = T.TfidfModel(m.params, stored(m.vocab, "vocab"), m.n_docs)
-    return m, stored(m.transform_tf(tf.drop("split"), keys), "weights")
+def nb_on_split(sp, keys, y_col, classes, scored):
+    """NB on TF-IDF fitted on the train ∪ val rows of a split: scores of the
+    rows for which ``scored`` holds.  One variant of ``VariantNB``: the texts
+    are tokenised once, and a scored (row, term) pair meets idf and class
+    log-probabilities in one join, norm and sums in one aggregate."""
+    rows = sp.withColumn("_tr", V.variant_bits([F.col("split") != "test"])).withColumn("_own", F.when(scored, F.lit(0)))
+    return V.VariantNB(rows, keys, y_col, classes, 1, params=T.BASELINE, also=("_own",)).score_own([0], "_own")
 
 
 def nb_documents(spark, sf_dir):
@@ -413,11 +412,8 @@ def nb_documents(spark, sf_dir):
     train ∪ val; every document scored.  Returns (scores df, classes)."""
     docs = table(spark, sf_dir, "documents")
     sp = cut_lineage(D.stratified_split(docs, ["doc_id"], "lang"))
-    train = sp.filter(F.col("split") != "test")
-    m, w = fit_transform_split(sp, ["doc_id"], T.BASELINE)
-    classes = sorted(r[0] for r in train.select("lang").distinct().collect())  # k rows
-    nb = M.nb_fit(w, train, ["doc_id"], "lang", m.vocab, classes)
-    return nb.scores(w, sp, ["doc_id"]), classes
+    classes = V.present_classes(sp.filter(F.col("split") != "test"), "lang")
+    return nb_on_split(sp, ["doc_id"], "lang", classes, F.lit(True)), classes
 
 
 @query("naive_bayes_scores", NB_DOCS_SQL + "\nSELECT doc_id, cls AS class, round(score, 6) AS score FROM xscores")
@@ -548,13 +544,8 @@ def nb_cued_predictions(spark, sf_dir, masked: bool, split=None):
     sp = split if split is not None else cut_lineage(split_df(spark, sf_dir))
     if masked:
         sp = sp.withColumn("text", mask_expr(F.col("text")))
-    train = sp.filter(F.col("split") != "test")
-    test = sp.filter(F.col("split") == "test")
-    m, w = fit_transform_split(sp, KEYS, T.BASELINE)
-    present = {r[0] for r in train.select("label").distinct().collect()}  # ≤ k rows
-    classes = [lab for lab in LABELS if lab in present]
-    nb = M.nb_fit(w, train, KEYS, "label", m.vocab, classes)
-    return M.predictions(nb.scores(w, test, KEYS), classes, truth=test, key_cols=KEYS, y_col="label")
+    classes = V.present_classes(sp.filter(F.col("split") != "test"), "label", list(LABELS))
+    return M.predictions(nb_on_split(sp, KEYS, "label", classes, F.col("split") == "test"), classes)
 
 
 def _model_metrics(pred, model: str):
@@ -639,9 +630,22 @@ def q_bottom_terms(spark, sf_dir):
     return SEL.term_weights(r, 8, smallest_abs=True, names=roles)
 
 
-@query("embedding_model")
-def q_embedding_model(spark, sf_dir):
+def embedding_run(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("label_id", F.col("label").cast("int"))
     sp = cut_lineage(D.stratified_split(e, ["vec_id"], "label_id"))
-    res = SEL.embedding_model(sp, ["vec_id"], labels=None)
+    return SEL.embedding_model(sp, ["vec_id"])
+
+
+@query("embedding_model")
+def q_embedding_model(spark, sf_dir):
+    res = embedding_run(spark, sf_dir)
     return res["pred"].select("vec_id", "y", "p", F.lit(res["best_epoch"]).alias("best_epoch"))
+
+
+@query("embedding_epochs")
+def q_embedding_epochs(spark, sf_dir):
+    """Loss and validation macro-F1 of every epoch, and which is restored."""
+    res = embedding_run(spark, sf_dir)
+    return res["states"].select("epoch", F.round("train_loss", 6).alias("train_loss"),
+                                F.round("val_macro_f1", 6).alias("val_macro_f1"),
+                                (F.col("epoch") == res["best_epoch"]).alias("best"))

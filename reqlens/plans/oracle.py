@@ -352,3 +352,63 @@ def curve_ctes(p: str, scores: str) -> str:
     sum(neg) OVER (PARTITION BY g.class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn
   FROM {p}g g JOIN {p}t t ON g.class = t.class
 )"""
+
+
+# --------------------------------------------------------------------------- #
+# Naive Bayes over many training sets, in long form
+# --------------------------------------------------------------------------- #
+
+
+def variant_nb_ctes(p: str, rows: str, train: str, score: str, keys: list[str], y: str, yord: str, ngram_hi: int,
+                    sublinear: bool, max_df: float) -> str:
+    """``{p}f1`` (v, part, macro_f1): NB on TF-IDF refitted for every v of
+    ``train`` (v, keys) and scored on ``score`` (v, part, keys)."""
+    ks = ", ".join(keys)
+
+    def on(a, b):
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+    def of(a):
+        return ", ".join(f"{a}.{k}" for k in keys)
+
+    return tf_ctes(p, rows, keys, "text", ngram_hi, sublinear) + f""", {p}tn AS (
+  SELECT v, CAST(count(*) AS DOUBLE) AS n FROM {train} GROUP BY v
+), {p}vocab AS (
+  SELECT d.v, term, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM (SELECT t.v, x.term, count(*) AS df FROM {p}tf x JOIN {train} t ON {on('x', 't')} GROUP BY t.v, x.term) d
+  JOIN {p}tn m ON m.v = d.v WHERE df <= {max_df} * n
+), {p}all AS (
+  SELECT DISTINCT v, {ks} FROM (SELECT v, {ks} FROM {train} UNION ALL SELECT v, {ks} FROM {score})
+), {p}w AS (
+  SELECT v, {ks}, term, w / sqrt(sum(w * w) OVER (PARTITION BY v, {ks})) AS weight
+  FROM (SELECT a.v, {of('a')}, x.term, x.tf_w * o.idf AS w FROM {p}all a JOIN {p}tf x ON {on('a', 'x')}
+        JOIN {p}vocab o ON o.v = a.v AND o.term = x.term)
+), {p}ty AS (
+  SELECT t.v, {of('t')}, r.{y} AS cls, r.{yord} AS ord FROM {train} t JOIN {rows} r ON {on('t', 'r')}
+), {p}prior AS (
+  SELECT c.v, cls, any_value(ord) AS ord, ln(count(*) / any_value(n)) AS lprior FROM {p}ty c JOIN {p}tn m ON m.v = c.v
+  GROUP BY c.v, cls
+), {p}fc AS (
+  SELECT w.v, t.cls, w.term, sum(w.weight) AS s FROM {p}w w JOIN {p}ty t ON t.v = w.v AND {on('t', 'w')}
+  GROUP BY w.v, t.cls, w.term
+), {p}den AS (
+  SELECT c.v, c.cls, coalesce(s, 0) + size AS den FROM {p}prior c
+  JOIN (SELECT v, count(*) AS size FROM {p}vocab GROUP BY v) z ON z.v = c.v
+  LEFT JOIN (SELECT v, cls, sum(s) AS s FROM {p}fc GROUP BY v, cls) f ON f.v = c.v AND f.cls = c.cls
+), {p}lp AS (
+  SELECT o.v, o.term, d.cls, ln((coalesce(f.s, 0) + 1) / den) AS lp FROM {p}vocab o JOIN {p}den d ON d.v = o.v
+  LEFT JOIN {p}fc f ON f.v = o.v AND f.term = o.term AND f.cls = d.cls
+), {p}sum AS (
+  SELECT w.v, {of('w')}, l.cls, sum(w.weight * l.lp) AS s FROM {p}w w JOIN {p}lp l ON l.v = w.v AND l.term = w.term
+  GROUP BY w.v, {of('w')}, l.cls
+), {p}pred AS (
+  SELECT q.v, q.part, r.{y} AS y, c.cls AS p FROM {score} q JOIN {rows} r ON {on('q', 'r')} JOIN {p}prior c ON c.v = q.v
+  LEFT JOIN {p}sum s ON s.v = q.v AND s.cls = c.cls AND {on('s', 'q')}
+  QUALIFY row_number() OVER (PARTITION BY q.v, q.part, {of('q')} ORDER BY round(coalesce(s.s, 0) + c.lprior, 6) DESC, c.ord) = 1
+), {p}per AS (
+  SELECT v, part, c, sum(s) AS s, sum(g) AS g, sum(t) AS t FROM (
+    SELECT v, part, y AS c, 1 AS s, 0 AS g, CASE WHEN y = p THEN 1 ELSE 0 END AS t FROM {p}pred
+    UNION ALL SELECT v, part, p, 0, 1, 0 FROM {p}pred) GROUP BY v, part, c
+), {p}f1 AS (
+  SELECT v, part, round(avg(2.0 * t / (s + g)), 6) AS macro_f1 FROM {p}per GROUP BY v, part
+)"""

@@ -38,6 +38,18 @@ def records_from_html(pages: DataFrame, key: str = "page_id", source: str = "url
     return X.records(body.withColumnRenamed(source, "source"), [key, "source"], F.col("source"))
 
 
+def pooled_records(parts: list[DataFrame]) -> DataFrame:
+    """Records of several collections (each with ``doc``, ``block_idx``,
+    ``sent_idx``) as one table; ``pool`` is the collection's place in the list,
+    so (pool, doc, block_idx, sent_idx) orders all records without packing."""
+    cols = ["doc", "block_idx", "sent_idx", "text", "page", "section", "block_type", "source"]
+    out = None
+    for i, p in enumerate(parts):
+        p = p.select(F.lit(i).alias("pool"), *cols)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def build_dataset(records: DataFrame, order_cols: list[tuple[str, int]],
                   lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Dedup (first occurrence by the packed ordering key) → labels → splits.

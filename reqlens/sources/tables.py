@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 from ..schema import LABELED_SCHEMA, METRICS_SCHEMA, RECORD_SCHEMA, TABLE_SCHEMAS
 
 
+#: Empty texts are written as "", nulls as nothing.
+CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "", "lineSep": "\n"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = TABLE_SCHEMAS.get(name)
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -47,13 +51,23 @@ def read_records_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One dataset, physically partitioned by split (partition pruning on read)."""
-    df.write.mode("overwrite").partitionBy("split").format(fmt).save(path)
+    """One dataset, physically partitioned by split (partition pruning on read).
+    CSV has a header, and quotes in texts are doubled, as ``read_splits`` expects."""
+    w = df.write.mode("overwrite").partitionBy("split").format(fmt)
+    (w.options(**CSV_OPTIONS, emptyValue='""') if fmt == "csv" else w).save(path)
+
+
+def read_splits(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """What ``write_splits`` wrote; ``schema`` without ``split``, in the written order."""
+    r = spark.read.schema(T.StructType([*schema.fields, T.StructField("split", T.StringType())])).format(fmt)
+    return (r.options(**CSV_OPTIONS, emptyValue="", multiLine="true") if fmt == "csv" else r).load(path)
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """Records per source document; the folder is the pooled table."""
-    df.write.mode("overwrite").partitionBy("source").parquet(path)
+    """The pooled records, grouped by source within files of the size that the
+    plan's partitions give, so a source is found by file statistics and many
+    small sources share a file."""
+    df.repartitionByRange("source").sortWithinPartitions("source").write.mode("overwrite").parquet(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
@@ -72,5 +86,5 @@ def metrics_frame(spark: SparkSession, model: str, summary: dict, per_class: lis
     return spark.createDataFrame(rows, METRICS_SCHEMA)
 
 
-__all__ = ["read_table", "read_labeled_csv", "read_splits_csv", "read_records_json", "write_splits",
+__all__ = ["read_table", "read_labeled_csv", "read_splits_csv", "read_records_json", "read_splits", "write_splits",
            "write_records", "write_metrics", "read_metrics", "metrics_frame", "T"]

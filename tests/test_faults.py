@@ -16,6 +16,15 @@ def test_metrics_count_classes_beyond_the_schema(spark):
     assert S.metrics(pred)["accuracy"] == pytest.approx(2 / 3, abs=1e-6)
 
 
+def test_confusion_refuses_classes_beyond_the_given_ones(spark):
+    from reqlens.operators import evaluate as E
+    pred = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "a"), ("a", None)], "y string, p string")
+    assert {(r["y"], r["p"]): r["cnt"] for r in E.confusion(pred, ["a", "b"]).collect()} == {
+        ("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}
+    with pytest.raises(PySparkException):
+        E.confusion(pred, ["a"]).collect()
+
+
 @pytest.mark.parametrize("smallest_abs", [False, True])
 def test_term_weights_keep_all_ties(spark, smallest_abs):
     terms = [f"t{i:02d}" for i in range(60)]
