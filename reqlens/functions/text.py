@@ -46,6 +46,10 @@ def combining_class() -> str:
                          if unicodedata.combining(chr(cp))) + "]"
 
 
+# Every combining character is a mark; the JVM may not know the newest ones yet.
+# Asked first, it spares all other characters the long class.
+MAYBE_COMBINING = r"(?=[\p{M}\p{Cn}])"
+
 # Python ``\w`` = letters, numbers and underscore.
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
@@ -174,7 +178,7 @@ def fold_accents(c: Column) -> Column:
     skip the work entirely (CASE is lazy)."""
     decomposed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True))
     return F.when(c.rlike("[^\\x00-\\x7F]"),
-                  F.regexp_replace(decomposed, combining_class(), "")).otherwise(c)
+                  F.regexp_replace(decomposed, MAYBE_COMBINING + combining_class(), "")).otherwise(c)
 
 
 def tokens_expr(c: Column, lowercase: bool = True, strip_accents: bool = True) -> Column:

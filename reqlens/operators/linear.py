@@ -323,6 +323,39 @@ def sweep(data: FitRows, specs: list[Spec], k: int) -> DataFrame:
         run, "point int, fold int, vocab_size long, y int, p int, n long")
 
 
+def curve_sweep(data: FitRows, spec: Spec, k: int, sizes: list[int]) -> DataFrame:
+    """(point, fold, vocab_size, y, p, n) as ``sweep``, where point 2j is the
+    model of the j-th size on its own training rows and 2j + 1 on the fold.  The
+    rows have ``fold`` and ``ranks``, their place among each fold's training
+    rows; a model is fitted on the rows up to its size."""
+    schema = pa.schema([("point", pa.int32()), ("fold", pa.int32()), ("vocab_size", pa.int64()), ("y", pa.int32()),
+                        ("p", pa.int32()), ("n", pa.int64())])
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        fold, j = divmod(int(key[0].as_py()), len(sizes))
+        test = t["fold"].to_numpy() == fold
+        ranks = np.array(t["ranks"].to_pylist(), np.int64)[:, fold]
+        train, y, out, size = ~test & (ranks <= sizes[j]), t["y"].to_numpy().astype(np.int64), [], 0
+        try:
+            classes, local = np.unique(y[train], return_inverse=True)
+            x, terms = weighted_rows(*_design(t), train, spec.params)
+            size = len(terms)
+            if not train.any():
+                raise NoFit("an empty sample")
+            w = fit_coefficients(x.take(train), local, spec)
+            for point, part in ((2 * j, train), (2 * j + 1, test)):
+                p = classes[margins(x.take(part), w).argmax(axis=1)]
+                cells, n = np.unique(np.stack([y[part], p], axis=1), axis=0, return_counts=True)
+                out += [(point, fold, size, int(a), int(b), int(c)) for (a, b), c in zip(cells, n, strict=True)]
+        except NoFit:
+            out = [(point, fold, size, None, None, None) for point in (2 * j, 2 * j + 1)]
+        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+
+    settings = F.explode(F.array(*[F.lit(i) for i in range(k * len(sizes))]))
+    spread = data.rows.select("fold", "ranks", "y", "idx", "tf", "wide", settings.alias("setting"))
+    return spread.groupBy("setting").applyInArrow(run, "point int, fold int, vocab_size long, y int, p int, n long")
+
+
 def fold_scores(counts: DataFrame) -> DataFrame:
     """(point, fold, vocab_size, macro_f1) of a sweep; NaN where no model could
     be fitted."""
@@ -424,6 +457,23 @@ class LinearModel:
             F.lit(None).cast("string").alias("term"), F.posexplode("g").alias("column", "gradient"))
         return by_term.unionByName(bias).select("column", "term", "gradient")
 
+    def term_weights(self, n: int = 8, smallest_abs: bool = False, names: list | None = None) -> DataFrame:
+        """(class, rank, term, weight): the n greatest weights of each class
+        (ties by term), or the n smallest by absolute value.  Two classes share
+        a column, whose negative is the first class's.  Each class is a sort
+        with a limit, so no task holds all its terms."""
+        k, out = len(self.classes), None
+        for c, cls in enumerate(self.classes):
+            w = F.get("coef", F.lit(c)) if k > 2 else F.get("coef", F.lit(0)) * (1.0 if c else -1.0)
+            rows = self.terms.select("term", w.alias("weight"))
+            order = [F.abs("weight").asc(), "term"] if smallest_abs else [F.col("weight").desc(), "term"]
+            top = rows.orderBy(*order).limit(n).withColumn("class", F.lit(names[cls] if names else str(cls)))
+            out = top if out is None else out.unionByName(top)
+        from pyspark.sql import Window
+        key = F.abs("weight").asc() if smallest_abs else F.col("weight").desc()
+        rank = F.row_number().over(Window.partitionBy("class").orderBy(key, "term"))  # n rows a class
+        return out.select("class", rank.alias("rank"), "term", F.round("weight", 6).alias("weight"))
+
     # -- S9: a manifest and a term table, loadable without the training rows
     def save(self, path: str) -> None:
         spark, p = self.terms.sparkSession, self.spec.params

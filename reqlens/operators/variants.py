@@ -4,8 +4,8 @@ A *variant* is a training set: the complement of a fold, or one of the nested
 samples of a learning curve.  A row carries the variants that train on it as
 the bits of one number, so the rows are tokenised once.  A term carries one
 document frequency, one idf and k class log-probabilities per variant as
-arrays, so one join on the term and one aggregate serve all variants; no loop
-refits the model.
+arrays, so the joins on the term and the aggregates serve all variants at once;
+no loop refits the model.
 """
 from __future__ import annotations
 
@@ -52,9 +52,10 @@ class VariantNB:
         self.also = list(also)
         self.rows = rows.filter(F.col(y_col).isNotNull()).select(*keys, F.col(y_col).alias("_y"), "_tr", *self.also, text_col)
         per_row = [*keys, "_y", "_tr", *self.also]
-        # a row's text moves once, to the task that counts its terms; (row, term) pairs don't
-        spread = self.rows.repartition(*keys)
-        self.tf = stored(T.term_freq(spread, per_row, text_col, params), "term-freq")
+        # a row's text moves once, to the task that counts its terms and lists them; (row, term) pairs don't
+        tf = T.term_freq(self.rows.repartition(*keys), per_row, text_col, params)
+        self.bags = stored(tf.groupBy(*per_row).agg(F.collect_list(F.struct("term", "tf_w")).alias("e")), "term-bags")
+        self.tf = self.bags.select(*per_row, F.explode("e").alias("e")).select(*per_row, "e.*")
         self.docs = self.rows.select(*per_row)
         counts = {r["_y"]: r for r in self.docs.groupBy("_y").agg(
             *[F.sum(_bit(v)).alias(f"n{v}") for v in range(n_variants)]).collect()}  # k rows
@@ -78,17 +79,19 @@ class VariantNB:
         vocab = stored(df.select("term", F.array(*[idf(v) for v in variants]).alias("idf")).filter(
             F.exists("idf", lambda x: x.isNotNull())), "variant-vocab")
         size = vocab.agg(*[F.count(F.get("idf", F.lit(i))).alias(f"s{i}") for i in range(len(variants))]).first()
-        # weights need each row's norm in each variant: one aggregate by row, which keeps its terms
-        x = self.tf.filter("_tr <> 0").join(vocab, "term")
+        # a row's norm in each variant: an aggregate by row, combined before it is shuffled
+        x = self.tf.filter("_tr <> 0").select(*self.keys, "term", "tf_w").join(vocab, "term")
         z = [F.col("tf_w") * F.get("idf", F.lit(i)) for i in range(len(variants))]
-        by_row = x.groupBy(*self.keys, "_y", "_tr").agg(
-            F.collect_list(F.struct("term", "tf_w", "idf")).alias("e"),
-            F.array(*[F.sqrt(F.sum(w * w)) for w in z]).alias("norm"))
-        w = by_row.select("_y", "_tr", "norm", F.explode("e").alias("e")).select("_y", "_tr", "norm", "e.*")
-        sums = [F.sum(F.when((F.col("_y") == F.lit(c)) & (_bit(v) == 1),
-                             F.col("tf_w") * F.get("idf", F.lit(i)) / F.get("norm", F.lit(i)))).alias(f"f{i}_{j}")
-                for i, v in enumerate(variants) for j, c in enumerate(self.classes)]
-        wide = stored(w.groupBy("term", "idf").agg(*sums), "variant-terms")
+        norms = x.groupBy(*self.keys).agg(F.array(*[F.sqrt(F.sum(w * w)) for w in z]).alias("norm"))
+        # norms meet whole rows; idf is a factor of a term's sums, so the pairs need no second join
+        w = self.bags.join(norms, self.keys).select("_y", "_tr", "norm", F.explode("e").alias("e")).select(
+            "_y", "_tr", "norm", "e.*")
+        sums = w.groupBy("term").agg(*[
+            F.sum(F.when((F.col("_y") == F.lit(c)) & (_bit(v) == 1), F.col("tf_w") / F.get("norm", F.lit(i)))).alias(f"f{i}_{j}")
+            for i, v in enumerate(variants) for j, c in enumerate(self.classes)])
+        wide = stored(vocab.join(sums, "term").select("term", "idf", *[
+            (F.col(f"f{i}_{j}") * F.get("idf", F.lit(i))).alias(f"f{i}_{j}")
+            for i in range(len(variants)) for j in range(k)]), "variant-terms")
         tot = wide.agg(*[F.sum(f"f{i}_{j}").alias(f"t{i}_{j}") for i in range(len(variants)) for j in range(k)]).first()
 
         def log_probs(i):

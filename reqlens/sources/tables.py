@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 from ..schema import LABELED_SCHEMA, METRICS_SCHEMA, RECORD_SCHEMA, TABLE_SCHEMAS
 
 
-#: Empty texts are written as "", nulls as nothing.
-CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "", "lineSep": "\n"}
+#: Nulls are written as \\N, so that an empty text stays one.
+CSV_OPTIONS = {"header": "true", "escape": '"', "nullValue": "\\N", "lineSep": "\n"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -90,3 +90,26 @@ def test_baseline_logreg_metrics(spark, mask, expect):
     assert r.vocab_size == (1260 if mask else 1272)
     got = (m["accuracy"], round(m["macro_f1_present"], 4), round(m["weighted_f1"], 4))
     assert got == expect
+
+
+@pytest.mark.parametrize("point,expect", [
+    ({"C": 1.0, "min_df": 1, "ngram": (1, 1), "sublinear": False}, (0.84, 0.6746, 0.8485)),
+    ({"C": 1.0, "min_df": 2, "ngram": (1, 2), "sublinear": True}, (0.92, 0.9139, 0.9234))])
+def test_tuning_points_of_the_linear_solver(spark, point, expect):
+    from reqlens.operators import linear as L
+    from reqlens.operators import select as S
+    d = read_splits_csv(spark, DS)
+    m = L.fit_linear(d.filter(F.col("split") != "test"), ["rid"], S.point_spec(0, point))
+    got = S.metrics(m.predict(d.filter(F.col("split") == "test"), ["rid"]))
+    assert (got["accuracy"], round(got["macro_f1_present"], 4), round(got["weighted_f1"], 4)) == expect
+
+
+def test_top_terms_of_the_linear_solver(spark):
+    from reqlens.operators import linear as L
+    from reqlens.operators import tfidf as T
+    from reqlens.schema import LABELS
+    d = read_splits_csv(spark, DS).filter(F.col("split") != "test")
+    m = L.fit_linear(d, ["rid"], L.Spec(params=T.IMPORTANCE))
+    top = {r["class"]: (r["term"], r["weight"]) for r in m.term_weights(1, names=list(LABELS)).collect()}
+    assert top["MANDATORY"] == ("shall", pytest.approx(1.04195, abs=1e-3))
+    assert top["PROHIBITED"] == ("may", pytest.approx(1.06018, abs=1e-3))

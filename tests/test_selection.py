@@ -239,10 +239,39 @@ def test_points_without_terms_and_folds_of_one_class_score_nan(spark):
     assert {r["candidate"]: math.isnan(r["macro_f1"]) for r in got} == {"nb": False, "logreg": True, "linsvm": True}
 
 
+def test_linear_learning_curve_equals_dense_fits(spark):
+    rows, k = corpus(48, 3, seed=12), 2
+    fold = folds_of(spark, rows, k)
+    got = {(r["size"], r["fold"]): r for r in S.learning_curve(
+        frame(spark, rows), ["id"], fracs=(0.5, 1.0), k=k).collect()}
+    smallest = min(sum(f != i for f in fold.values()) for i in range(k))
+    assert set(got) == {(int(round(x * smallest, 9)), i) for x in (0.5, 1.0) for i in range(k)}
+    for (size, i), r in got.items():
+        order = sorted((x for x in rows if fold[x[0]] != i), key=lambda x: hashlib.md5(f"5644:{x[0]}".encode()).hexdigest())
+        tr, te = order[:size], [x for x in rows if fold[x[0]] == i]
+        x = Dense([t for *_, t in tr], T.IMPORTANCE)
+        w = dense_linear(x([t for *_, t in tr]), [y for _, y, _ in tr], "logreg", 1.0, 3)
+        for part, name in ((tr, "train"), (te, "test")):
+            p = (x([t for *_, t in part]) @ w[:-1] + w[-1]).argmax(axis=1).tolist()
+            assert r[f"{name}_macro_f1"] == pytest.approx(f1([y for _, y, _ in part], p), abs=0.03)
+
+
 def test_learning_curve_of_degenerate_samples_goes_on(spark):
     rows = [(i, 0, "alpha beta") for i in range(9)] + [(20 + i, 1, "gamma") for i in range(2)]
-    got = S.learning_curve(frame(spark, rows), ["id"], max_iter=20).collect()
-    assert len(got) == 10 and any(math.isnan(r["test_macro_f1"]) for r in got) | all(r["size"] > 0 for r in got)
+    got = S.learning_curve(frame(spark, rows), ["id"]).collect()
+    assert len(got) == 10 and any(math.isnan(r["test_macro_f1"]) for r in got)
+    assert any(r["test_macro_f1"] > 0 for r in got)
+
+
+def test_top_and_bottom_terms_of_a_linear_model(spark):
+    rows = corpus(60, 3, seed=2)
+    m = L.fit_linear(frame(spark, rows), ["id"], L.Spec(params=T.IMPORTANCE))
+    coef = {r["term"]: r["coef"] for r in m.terms.collect()}
+    for smallest in (False, True):
+        got = m.term_weights(4, smallest, ["a", "b", "c"]).collect()
+        for c, name in enumerate("abc"):
+            want = sorted(coef, key=lambda t: (abs(coef[t][c]) if smallest else -coef[t][c], t))[:4]
+            assert [r["term"] for r in sorted(got, key=lambda r: r["rank"]) if r["class"] == name] == want
 
 
 def test_first_rows_bound_a_fit_and_nothing_else(spark):
