@@ -1,18 +1,26 @@
 """Encoding whole texts with a ``tokenizers`` file, word by word.
 
 The tokenizer lower-cases, drops white space and never joins what white space parts, so a text's ids are
-the ids of its words in a row. Words repeat, and each distinct word is encoded once per Python worker:
-plain Latin words by the file's own model on the pieces that its pre-tokenizer would make, all others by
-the library's whole chain. ``tests/llm`` holds the result against the library on whole texts.
+the ids of its words in a row. Words repeat, and so do the pieces that the pre-tokenizer cuts lower-cased
+words into; both are remembered within a bound of bytes. Plain Latin words are encoded by the file's own
+model, piece by piece, all others by the library's whole chain. ``tests/llm`` holds the result against the
+library on whole texts.
+
+Defined cases: a null text is empty and has no ids but the end id; a word of any length is encoded whole,
+and one longer than LONGEST_REMEMBERED bytes is not remembered.
 """
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 
-from reqlens.llm.common import remembered
+#: Bytes of words and of pieces that a worker remembers at most, and what an entry takes besides its texts.
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 1 << 26, 1 << 24, 200
+LONGEST_REMEMBERED = 1 << 10
 
 END_ID = 1
 #: Words of printable ASCII and Latin-1 letters: neither the normaliser nor Unicode classes matter beyond lower().
@@ -27,6 +35,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Remembered(dict):
+    """Results of ``make`` by key within ``limit`` bytes. When half of them is used, what was found or made since
+    the last time is kept and the rest forgotten, so frequent keys stay."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.used, self.before = make, limit // 2, 0, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        size = len(key) + len(value)
+        if size <= LONGEST_REMEMBERED:
+            if self.used > self.limit:
+                self.before, self.used = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.used += size + ENTRY_BYTES
+        return value
+
+
 class WordEncoder:
     """ids of texts as little-endian unsigned 16- or 32-bit integers."""
 
@@ -37,27 +67,25 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cache = "ids of words", path
+        self.words = Remembered(self._word, WORD_BYTES)
+        self.pieces = Remembered(self._piece, PIECE_BYTES)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes() if len(ids) > 64 else array(self.dtype.char, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(shown)])
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8", "surrogatepass")
         if "<|" in word or not _PLAIN.fullmatch(word):
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            ids = [t.id for p in _PIECES.findall(word.lower()) for t in self.model.tokenize(
-                p if p.isascii() else p.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, self.dtype).tobytes()
+            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: empty) without special tokens."""
-        known, parts = remembered(self.cache), (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join([known[w] for w in parts])
-        except KeyError:
-            for w in parts:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in parts])
+        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
     def document(self, text: str | None, end_id: int = END_ID) -> np.ndarray:
         """The ids of a text and the end id."""
