@@ -208,7 +208,8 @@ def test_sharding(spark, docs, none):
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.2, 8).astype("f4").tolist()) for i in range(400)] + [
-        (400, None), (450, [None] * 8), (500, [float("nan")] * 8), (None, [0.1] * 8), (550, [0.5]), (7, [0.9] * 8)]
+        (400, None), (450, [None] * 8), (500, [float("nan")] * 8), (None, [0.1] * 8), (550, [0.5]), (7, [0.9] * 8),
+        (600, [1e5] * 8), (601, [-1e5] * 8), (602, [65536.25] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"])
                  for r in topk.nearest(df, block_rows=64, chunk_queries=3).collect())

@@ -167,6 +167,34 @@ def test_sorted_lists_equal_brute_force():
             assert lists.top(q, int(own), 5) == [(i, -s) for s, i in ref]
 
 
+def test_sorted_lists_stop_before_their_end():
+    """Where few rows lead in every dimension, the others can't reach them after a part of the lists."""
+    rng = np.random.default_rng(4)
+    n, d = 4096, 8
+    x = rng.integers(-20, 21, (n, d))
+    x[:40] += 200
+    ids = rng.permutation(n)
+    lists = topk.SortedLists(ids, x)
+    q = np.full(d, 9)
+    ref = sorted((-int(r @ q), int(i)) for r, i in zip(x, ids, strict=True))[:5]
+    assert lists.top(q, -1, 5) == [(i, -s) for s, i in ref]
+    assert 0 < lists.read <= 0.5
+
+
+def test_sorted_lists_of_large_components():
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(0, 1, (300, 6)) * 2.56e12)
+    x[7] = x[8]
+    x[9], x[10] = 3e38, -3e38
+    ids = rng.permutation(300)
+    lists = topk.SortedLists(ids, x)
+    for q, own in ((x[0], int(ids[0])), (x[9], int(ids[9])), (np.floor(x[1] / 1e9), -1)):
+        exact = [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in x.tolist()]
+        held = [max(1 - 2 ** 63, min(2 ** 63 - 1, s)) for s in exact]
+        want = sorted((-s, int(i)) for s, i in zip(held, ids, strict=True) if i != own)[:5]
+        assert lists.top(q, own, 5) == [(i, -s) for s, i in want]
+
+
 def test_warc_reader_is_incremental_and_verifies():
     raw = b"".join(warc.encode_record(i, None if i % 2 else f"http://x/{i}\r\nEvil: 1", b"<p>%d</p>" % i * (i % 5),
                                       0 if i == 7 else None) for i in range(20))
