@@ -4,16 +4,23 @@ Each text is compressed by zstandard as a whole and in fixed chunks. A whole tex
 of its bytes falls below the band of its length class repeats itself; above it, it is noise. The same
 holds for its chunks: a text is rejected when more than MAX_BAD_CHUNKS of them lie outside their band.
 
+The bands are learned from the texts of documents labelled as trusted that pass the base rules: by length class,
+the share that all but a few of them exceed and the one that all but a few stay under (TAIL at either end), and the
+same for their chunks. All such texts count, as histograms of bounded size. A class with few of them has the fixed
+band of BANDS or CHUNK_BAND.
+
 The base rules count words, word characters, symbols, repeated lines and words in repeated 3-word windows;
 texts of under MIN_WORDS words, or mostly in repeated windows, fail them.
 
-Defined cases: a null or empty text has no words, so it fails; the last chunk takes a rest of under half a
+Defined cases: without trusted documents all bands are the fixed ones; labels of null or unknown ids name no text,
+and repeated ones name theirs once; a null or empty text has no words, so it fails; the last chunk takes a rest of under half a
 chunk; rows are independent, so ids may be null or repeat; an empty table gives no rows; filtering keeps
 all columns, whatever their names.
 """
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +41,21 @@ CHUNK_BAND = (0.15, 0.72)
 #: random base64 stays above 0.75, lines that repeat fall below 0.1.
 BANDS = ((0, 0.20, float("inf")), (256, 0.20, 0.80), (1024, 0.18, 0.72), (4096, 0.15, 0.68), (16384, 0.12, 0.65))
 SYMBOLS = "#*$%&|<>"
+#: Share of trusted texts beyond either limit, trusted texts that a learned band needs, and histogram steps of a share.
+TAIL = 0.002
+LEAST_TRUSTED = 50
+STEPS, MOST_STEPS = 1000, 2000
+
+
+class Bands(NamedTuple):
+    """(least bytes, low, high) by length class, and (low, high) of a chunk."""
+
+    whole: tuple[tuple[int, float, float], ...] = BANDS
+    chunk: tuple[float, float] = CHUNK_BAND
+
+    def of(self, size: int) -> int:
+        """The length class of a text of so many bytes."""
+        return bisect.bisect_right(self.whole, size, key=lambda b: b[0]) - 1
 
 
 class Verdict(NamedTuple):
@@ -73,24 +95,76 @@ def chunks(data: bytes, size: int = CHUNK_BYTES) -> list[bytes]:
     return [data[i * size:(i + 1) * size if i < n - 1 else None] for i in range(n)]
 
 
-def judge(text: str | None, compress) -> Verdict:
+def judge(text: str | None, compress, bands: Bands = Bands()) -> Verdict:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     n_repeat = repeat_words(words)
     share = len(compress(data)) / max(1, len(data))
-    _, low, high = BANDS[bisect.bisect_right(BANDS, len(data), key=lambda b: b[0]) - 1]
-    parts = chunks(data) if len(data) >= CHUNK_BYTES else []
-    bad = sum(not CHUNK_BAND[0] <= len(compress(c)) / len(c) <= CHUNK_BAND[1] for c in parts)
+    _, low, high = bands.whole[bands.of(len(data))]
+    shares = chunk_shares(data, compress)
+    bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in shares)
     failed = len(words) < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * len(words)
     return Verdict(len(words), len(text) - sum(map(text.count, " \t\n\v\f\r")), sum(map(text.count, SYMBOLS)),
                    len(lines) - len(set(lines)), n_repeat, failed,
-                   not failed and low <= share <= high and bad <= MAX_BAD_CHUNKS * len(parts),
-                   share, len(parts), bad)
+                   not failed and low <= share <= high and bad <= MAX_BAD_CHUNKS * len(shares),
+                   share, len(shares), bad)
+
+
+def chunk_shares(data: bytes, compress) -> list[float]:
+    """The compressed share of each chunk; a text of less than one has none."""
+    return [len(compress(c)) / len(c) for c in chunks(data)] if len(data) >= CHUNK_BYTES else []
+
+
+def limits(histogram: dict[int, int], otherwise: tuple[float, float], tail: float = TAIL) -> tuple[float, float]:
+    """The shares between which all but ``tail`` of a histogram's counts lie at either end."""
+    n = sum(histogram.values())
+    if n < LEAST_TRUSTED:
+        return otherwise
+    out = []
+    for steps in (sorted(histogram), sorted(histogram, reverse=True)):
+        beyond = 0
+        for step in steps:
+            beyond += histogram[step]
+            if beyond > tail * n:
+                out.append(step)
+                break
+    return out[0] / STEPS, (out[1] + 1) / STEPS
+
+
+def learned_bands(docs: DataFrame, labels: DataFrame) -> Bands:
+    """Bands from the documents that ``labels`` gives quality 1. What reaches the driver is a count for each length
+    class (or chunks) and step of a share: at most MOST_STEPS numbers for each."""
+    trusted = docs.select("doc_id", "text").join(
+        labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    schema = pa.schema([("kind", pa.int32()), ("step", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, seen = zstandard.ZstdCompressor(level=LEVEL).compress, Counter()
+        for b in batches:
+            for text in b.column(0):
+                text = text.as_py()
+                verdict = judge(text, compress)
+                if verdict.base_failed:
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
+                seen[Bands().of(len(data)), step_of(verdict.whole_share)] += 1
+                seen.update((-1, step_of(x)) for x in chunk_shares(data, compress))
+        yield arrow_rows(schema, [(*k, n) for k, n in seen.items()])
+
+    counts: dict[int, dict[int, int]] = {}
+    for r in trusted.mapInArrow(tidied(run), "kind int, step int, n long").groupBy("kind", "step").sum("n").collect():
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    return Bands(tuple((least, *limits(counts.get(i, {}), (low, high))) for i, (least, low, high) in enumerate(BANDS)),
+                 limits(counts.get(-1, {}), CHUNK_BAND))
+
+
+def step_of(share: float) -> int:
+    return min(MOST_STEPS, int(share * STEPS))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """doc_id and the fields of ``Verdict`` for every document."""
     kinds = {"int": (pa.int64(), "long"), "bool": (pa.bool_(), "boolean"), "float": (pa.float64(), "double")}
     fields = [(k, kinds[getattr(v, "__forward_arg__", v)]) for k, v in Verdict.__annotations__.items()]
@@ -99,24 +173,25 @@ def quality(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            yield arrow_rows(schema, [(i, *judge(t.as_py(), compress))
+            yield arrow_rows(schema, [(i, *judge(t.as_py(), compress, bands))
                                       for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
 
     return docs.select("doc_id", "text").mapInArrow(
         tidied(run), "doc_id long, " + ", ".join(f"{k} {s}" for k, (_, s) in fields))
 
 
-def keep_quality(docs: DataFrame) -> DataFrame:
+def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs`` whose text is kept."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            yield b.filter(pa.array([judge(t.as_py(), compress).kept for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([judge(t.as_py(), compress, bands).kept for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, learned_bands(docs, table(spark, sf_dir, "labels")))
