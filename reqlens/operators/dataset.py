@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import label_expr, label_id_expr, mask_expr
 from ..schema import (CV_FOLDS, DEFAULT_LEXICON, MASK_TOKEN, SEED, TEST_SIZE, VAL_SIZE, LabelSchema,
                       Lexicon)
-from .rank import bucketed_rank, hash_key, hex_bucket
+from ..session import stored
+from .rank import auto_hex_digits, bucketed_rank, hash_key, hex_bucket
 
 
 def with_labels(df: DataFrame, text_col: str = "text", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -135,16 +136,17 @@ def _quota(plan: SplitPlan, label: Column) -> Column:
 
 def stratified_split(df: DataFrame, key_cols: list[str], label_col: str = "label",
                      test_size: float = TEST_SIZE, val_size: float = VAL_SIZE,
-                     seed: int = SEED, hex_digits: int = 3) -> DataFrame:
+                     seed: int = SEED, hex_digits: int | None = None) -> DataFrame:
     """Add ``split`` ∈ {train, val, test}: test = test_size of all rows, then
     val = val_size/(1-test_size) of the rest; each stage stratified when its
     guard allows.  Row order inside a class is md5(seed:key) — deterministic
     and independent of partitioning."""
-    # read three times (class counts, bucket counts, ranked rows): persist once
-    d = df.withColumn("_h", hash_key(seed, *key_cols)).persist()
+    # read three times (class counts, bucket counts, ranked rows): stored once
+    d = stored(df.withColumn("_h", hash_key(seed, *key_cols)), "hashed")
     order = ["_h", *key_cols]
     lab = F.col(label_col)
     counts1 = _class_counts(d, label_col)
+    hex_digits = hex_digits or auto_hex_digits(sum(counts1.values()))
     plan1 = plan_split(counts1, test_size)
     grp1 = [label_col] if plan1.stratified else []
     # offsets table: at most (#classes × 16^digits) rows — a proven bound
@@ -176,11 +178,12 @@ def n_folds_for(counts: dict, max_folds: int = CV_FOLDS) -> int:
 
 
 def kfold_assign(df: DataFrame, key_cols: list[str], label_id_col: str = "label_id",
-                 k: int | None = None, seed: int = SEED, hex_digits: int = 3) -> DataFrame:
+                 k: int | None = None, seed: int = SEED, hex_digits: int | None = None) -> DataFrame:
     """Add ``fold`` = (global rank over (label_id, md5 key) − 1) mod k, which
     stratifies: per-class fold counts and fold sizes differ by at most one."""
-    d = df.withColumn("_h", hash_key(seed, *key_cols)).persist()
+    d = stored(df.withColumn("_h", hash_key(seed, *key_cols)), "hashed")
     counts = _class_counts(d, label_id_col)  # k rows
+    hex_digits = hex_digits or auto_hex_digits(sum(counts.values()))
     if k is None:
         k = n_folds_for(counts)
     bucket = F.col(label_id_col).cast("long") * (16 ** hex_digits) + hex_bucket(F.col("_h"), hex_digits)

@@ -11,7 +11,6 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,21 +120,9 @@ def linsvm(n_rows: int, C: float = 1.0, max_iter: int = 1000, features: str = "f
     return OneVsRest(classifier=svc, featuresCol=features, labelCol=label, weightCol=weight)
 
 
-def ml_scores(pred: DataFrame, col: str = "probability") -> Column:
-    """Probabilities (LR), else softmax of raw margins (SVM)."""
-    arr = vector_to_array(F.col(col))
-    return arr if col == "probability" else softmax(arr)
-
-
 def with_balanced_weights(df: DataFrame, label: str = "label_id", out: str = "w") -> DataFrame:
     """weight = n / (k_present · n_c) per row, from a k-row count table."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     n = counts.agg(F.sum("_c").cast("double")).scalar()
     k = counts.agg(F.count(F.lit(1)).cast("double")).scalar()
     return df.join(F.broadcast(counts), label).withColumn(out, n / (k * F.col("_c"))).drop("_c")
-
-
-def tfidf_for_ml(model: TfidfModel, df: DataFrame, key_cols: list[str], text_col: str,
-                 term_index: DataFrame, size: int) -> DataFrame:
-    from .tfidf import to_vectors
-    return to_vectors(model.transform(df, key_cols, text_col), key_cols, term_index, size, df)
