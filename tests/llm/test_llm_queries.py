@@ -243,12 +243,42 @@ def test_warc(spark):
 
 
 def test_registered_queries(spark):
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    """A row per document; op5 and op7 run in the pipeline's test, op6 and op10 to op13 against their SQL."""
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
-    for name in ("op4_compression_bands", "op9_stratified_interleave"):
+    for name in ("op1_kneser_ney_quality", "op2_fixed_width_ids", "op3_markov_secrets", "op4_compression_bands",
+                 "op8_offset_pieces", "op9_stratified_interleave"):
         assert queries.QUERIES[name](spark, SF_SMALL).count() == n
 
 
+def test_shards_equal_brute_force(spark):
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None, "c"]), "t" * rnd.randint(0, 9)) for i in range(500)]
+    strata, placed = {}, []
+    for i, s, t in rows:
+        h = hashlib.md5(f"{sharding.SEED}:{i}".encode()).hexdigest()
+        strata.setdefault("n" if s is None else "s" + s, []).append((h, i, len(t) + 8, zlib.crc32(t.encode())))
+    for s, own in strata.items():
+        u = int(hashlib.md5(s.encode()).hexdigest()[:8], 16) / 4294967296.0
+        placed += [((r + u) / len(own), s, *x) for r, x in enumerate(sorted(own))]
+    want = []
+    for place, (_, _, _, i, size, crc) in enumerate(sorted(placed)):
+        shard = place * 24 // len(rows)
+        want.append((i, size, crc, "rows", shard, place - -(-shard * len(rows) // 24), None))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    same(sharding.stratified_shards(df).drop("source"), want)
+
+
+@pytest.mark.parametrize("name", ["op6_warc_round_trip", "op10_nra_top_k"])
+def test_registered_queries_with_sql(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_SMALL}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF_SMALL)
+    same(df, con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLE[name]})").fetchall())
+
+
 def test_pipeline_stages(spark):
     """Stage by stage: columns, clean documents stay, junk and copies go."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "secret_scan", "pack"]
