@@ -20,7 +20,6 @@ all columns, whatever their names.
 from __future__ import annotations
 
 import bisect
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reqlens.llm.common import arrow_rows, table, tidied
+from reqlens.llm.common import arrow_rows, stored, table, tidied
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -95,21 +95,41 @@ def chunks(data: bytes, size: int = CHUNK_BYTES) -> list[bytes]:
     return [data[i * size:(i + 1) * size if i < n - 1 else None] for i in range(n)]
 
 
-def judge(text: str | None, compress, bands: Bands = Bands()) -> Verdict:
+class Measure(NamedTuple):
+    """What the bands don't decide: the counts of the base rules, and the compressed shares."""
+
+    n_words: int
+    word_chars: int
+    n_symbols: int
+    n_dup_lines: int
+    n_repeat_words: int
+    base_failed: bool
+    n_bytes: int
+    whole_share: float
+    chunk_shares: list[float]
+
+
+def measure(text: str | None, compress) -> Measure:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip()]
     n_repeat = repeat_words(words)
-    share = len(compress(data)) / max(1, len(data))
-    _, low, high = bands.whole[bands.of(len(data))]
-    shares = chunk_shares(data, compress)
-    bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in shares)
-    failed = len(words) < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * len(words)
-    return Verdict(len(words), len(text) - sum(map(text.count, " \t\n\v\f\r")), sum(map(text.count, SYMBOLS)),
-                   len(lines) - len(set(lines)), n_repeat, failed,
-                   not failed and low <= share <= high and bad <= MAX_BAD_CHUNKS * len(shares),
-                   share, len(shares), bad)
+    return Measure(len(words), len(text) - sum(map(text.count, " \t\n\v\f\r")), sum(map(text.count, SYMBOLS)),
+                   len(lines) - len(set(lines)), n_repeat,
+                   len(words) < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * len(words),
+                   len(data), len(compress(data)) / max(1, len(data)), chunk_shares(data, compress))
+
+
+def decide(m: Measure, bands: Bands = Bands()) -> Verdict:
+    _, low, high = bands.whole[bands.of(m.n_bytes)]
+    bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in m.chunk_shares)
+    inside = low <= m.whole_share <= high and bad <= MAX_BAD_CHUNKS * len(m.chunk_shares)
+    return Verdict(*m[:6], not m.base_failed and inside, m.whole_share, len(m.chunk_shares), bad)
+
+
+def judge(text: str | None, compress, bands: Bands = Bands()) -> Verdict:
+    return decide(measure(text, compress), bands)
 
 
 def chunk_shares(data: bytes, compress) -> list[float]:
@@ -133,51 +153,65 @@ def limits(histogram: dict[int, int], otherwise: tuple[float, float], tail: floa
     return out[0] / STEPS, (out[1] + 1) / STEPS
 
 
-def learned_bands(docs: DataFrame, labels: DataFrame) -> Bands:
-    """Bands from the documents that ``labels`` gives quality 1. What reaches the driver is a count for each length
-    class (or chunks) and step of a share: at most MOST_STEPS numbers for each."""
-    trusted = docs.select("doc_id", "text").join(
-        labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    schema = pa.schema([("kind", pa.int32()), ("step", pa.int32()), ("n", pa.int64())])
+def arrow_fields(kind: type) -> tuple[pa.Schema, str]:
+    """doc_id and the fields of a named tuple, as an Arrow schema and as SQL."""
+    kinds = {"int": (pa.int64(), "long"), "bool": (pa.bool_(), "boolean"), "float": (pa.float64(), "double"),
+             "list[float]": (pa.list_(pa.float64()), "array<double>")}
+    fields = [(k, kinds[getattr(v, "__forward_arg__", v)]) for k, v in kind.__annotations__.items()]
+    return (pa.schema([("doc_id", pa.int64()), *((k, a) for k, (a, _) in fields)]),
+            "doc_id long, " + ", ".join(f"{k} {s}" for k, (_, s) in fields))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and the fields of ``Measure`` for every document."""
+    schema, sql = arrow_fields(Measure)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress, seen = zstandard.ZstdCompressor(level=LEVEL).compress, Counter()
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            for text in b.column(0):
-                text = text.as_py()
-                verdict = judge(text, compress)
-                if verdict.base_failed:
-                    continue
-                data = text.encode("utf-8", "surrogatepass")
-                seen[Bands().of(len(data)), step_of(verdict.whole_share)] += 1
-                seen.update((-1, step_of(x)) for x in chunk_shares(data, compress))
-        yield arrow_rows(schema, [(*k, n) for k, n in seen.items()])
+            yield arrow_rows(schema, [(i, *measure(t.as_py(), compress))
+                                      for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), sql)
+
 
+def learned_bands(measures: DataFrame, labels: DataFrame) -> Bands:
+    """Bands from the ``measured`` documents that ``labels`` gives quality 1; only shares meet the labels, no text.
+    What reaches the driver is a count for each length class (or chunks) and step of a share: at most MOST_STEPS
+    numbers for each."""
+    trusted = measures.where("NOT base_failed").select("doc_id", "n_bytes", "whole_share", "chunk_shares").join(
+        labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    kind = F.lit(0)
+    for i, (least, *_) in enumerate(BANDS):
+        kind = F.when(F.col("n_bytes") >= least, F.lit(i)).otherwise(kind)
+
+    def step(share):
+        return F.least(F.floor(share * STEPS), F.lit(MOST_STEPS)).cast("int")
+
+    steps = F.concat(F.array(F.struct(kind.alias("kind"), step(F.col("whole_share")).alias("step"))),
+                     F.transform("chunk_shares", lambda x: F.struct(F.lit(-1).alias("kind"), step(x).alias("step"))))
     counts: dict[int, dict[int, int]] = {}
-    for r in trusted.mapInArrow(tidied(run), "kind int, step int, n long").groupBy("kind", "step").sum("n").collect():
-        counts.setdefault(r[0], {})[r[1]] = r[2]
+    for r in trusted.select(F.inline(steps)).groupBy("kind", "step").count().collect():
+        counts.setdefault(r["kind"], {})[r["step"]] = r["count"]
     return Bands(tuple((least, *limits(counts.get(i, {}), (low, high))) for i, (least, low, high) in enumerate(BANDS)),
                  limits(counts.get(-1, {}), CHUNK_BAND))
 
 
-def step_of(share: float) -> int:
-    return min(MOST_STEPS, int(share * STEPS))
-
-
-def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """doc_id and the fields of ``Verdict`` for every document."""
-    kinds = {"int": (pa.int64(), "long"), "bool": (pa.bool_(), "boolean"), "float": (pa.float64(), "double")}
-    fields = [(k, kinds[getattr(v, "__forward_arg__", v)]) for k, v in Verdict.__annotations__.items()]
-    schema = pa.schema([("doc_id", pa.int64()), *((k, a) for k, (a, _) in fields)])
+def verdicts(measures: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """doc_id and the fields of ``Verdict`` for every ``measured`` document."""
+    schema, sql = arrow_fields(Verdict)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for b in batches:
-            yield arrow_rows(schema, [(i, *judge(t.as_py(), compress, bands))
-                                      for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield arrow_rows(schema, [(i, *decide(Measure(*m), bands)) for i, *m in rows])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidied(run), "doc_id long, " + ", ".join(f"{k} {s}" for k, (_, s) in fields))
+    return measures.mapInArrow(run, sql)
+
+
+def quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """doc_id and the fields of ``Verdict`` for every document."""
+    return verdicts(measured(docs), bands)
 
 
 def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -193,5 +227,5 @@ def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality(docs, learned_bands(docs, table(spark, sf_dir, "labels")))
+    measures = stored(measured(table(spark, sf_dir, "documents")), "measures")
+    return verdicts(measures, learned_bands(measures, table(spark, sf_dir, "labels")))

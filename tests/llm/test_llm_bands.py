@@ -25,7 +25,7 @@ def test_learned_bands_equal_quantiles_of_trusted_texts(spark):
     docs = spark.createDataFrame([*good, *bad, (None, good[0][1]), (2000, None), (2001, "")], "doc_id long, text string").repartition(5)
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(good[0][0], 1), (None, 1), (2000, 1), (2001, 1), (77777, 1)]
                                    + [(i, 0) for i, _ in bad], "doc_id long, quality int")
-    got = compression.learned_bands(docs, labels)
+    got = compression.learned_bands(compression.measured(docs), labels)
     compress = zstandard.ZstdCompressor(level=compression.LEVEL).compress
     shares, chunks = {}, []
     for _, t in good:
@@ -59,5 +59,5 @@ def test_learned_bands_equal_quantiles_of_trusted_texts(spark):
 def test_bands_without_trusted_texts_are_the_fixed_ones(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert compression.learned_bands(docs, none) == compression.Bands()
-    assert compression.learned_bands(docs.filter("false"), none) == compression.Bands()
+    assert compression.learned_bands(compression.measured(docs), none) == compression.Bands()
+    assert compression.learned_bands(compression.measured(docs.filter("false")), none) == compression.Bands()
