@@ -20,7 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the base rules and the compression bands."""
-    return compression.keep_quality(docs, compression.learned_bands(docs, table(spark, sf_dir, "labels")))
+    return compression.keep_quality(docs, compression.learned_bands(
+        compression.measured(docs), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
