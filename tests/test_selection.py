@@ -321,3 +321,40 @@ def test_best_epoch_is_restored_and_scores_all_vectors(spark):
         assert got[i]["y"] == y and got[i]["p"] == int(f.argmax())
         assert got[i]["scores"] == pytest.approx((np.exp(f) / np.exp(f).sum()).tolist(), abs=1e-5)
     assert sum(r["p"] == r["y"] for r in got.values() if r["y"] is not None) > 0.8 * len(rows)
+
+
+def sparse_rows(seed=3):
+    rnd = np.random.default_rng(seed)
+    counts = [np.sort(rnd.choice(90, rnd.integers(0, 9), replace=False)) for _ in range(30)]
+    counts[3], counts[-1] = counts[3][:0], counts[-1][:0]
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in counts])])
+    cols = np.concatenate(counts).astype(np.int32)
+    return L.Sparse(offsets, cols, rnd.random(len(cols)) + 0.1, 90), np.arange(30) % 3
+
+
+def test_sparse_products_in_parts(monkeypatch):
+    x, _ = sparse_rows()
+    dense = np.zeros((30, 90))
+    dense[x.row_of, x.cols] = x.vals
+    w, r = np.arange(180.0).reshape(90, 2), np.arange(60.0).reshape(30, 2)
+    for at_once in (1, 5, 1 << 18):
+        monkeypatch.setattr(L, "ENTRIES_AT_ONCE", at_once)
+        assert np.allclose(x.dot(w), dense @ w) and np.allclose(x.transposed().dot(r), dense.T @ r)
+
+
+@pytest.mark.parametrize("model", ["logreg", "linsvm"])
+def test_terms_of_one_row_are_folded_without_a_change(model):
+    x, y = sparse_rows()
+    df = np.bincount(x.cols, minlength=90)
+    d = L.folded(x)
+    assert d.x.width < 90 and (df == 1).sum() > 3
+    f, cols, height = L.objective(x, y, 3, model, 1.0)
+    g, _, folded_height = L.objective(d.x, y, 3, model, 1.0)
+    w = np.random.default_rng(5).random((folded_height, cols))
+    (a, ga), (b, gb) = f(d.unfold(w).ravel()), g(w.ravel())
+    assert a == pytest.approx(b) and np.allclose(d.fold(d.unfold(w)), w)
+    ga, gb = np.abs(ga.reshape(height, cols)), np.abs(gb.reshape(folded_height, cols))
+    assert ga.max() == pytest.approx(max((gb[:-1] * d.peak[:, None]).max(), gb[-1].max()))
+    assert ga.sum() == pytest.approx((gb[:-1] * d.mass[:, None]).sum() + gb[-1].sum())
+    best = L.fit_coefficients(x, y, L.Spec(model=model))
+    assert np.abs(f(best.ravel())[1]).max() <= L.TOLERANCE * len(y)
