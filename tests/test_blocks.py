@@ -67,6 +67,8 @@ def test_naive_bayes_is_the_same_for_any_blocks(spark, monkeypatch):
         assert len(rows) == 33
         every = nb.score_all([0, 1]).collect()
         assert len(every) == 66
+        part = V.VariantNB(d.withColumn("_own", F.when(F.col("id") == 4, 0)), ["id"], "y", ["a", "b"], 3, also=("_own",))
+        assert {r["term"] for r in part.terms.filter("own").collect()} == {"yy", "ww", "w4", "yy ww", "ww w4", "w4 w4"}
         seen.append([sorted((str(r["id"]), r["y"], r["variant"], *[round(x, 9) for x in r["scores"]]) for r in x)
                      for x in (rows, every)])
         fitted = nb.fit([0])
