@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +38,12 @@ def whitespace_class() -> str:
     return "[" + _jclass(cp for cp in range(0x3001) if chr(cp).isspace()) + "]"
 
 
+@lru_cache(maxsize=None)
+def odd_whitespace() -> str:
+    """Whitespace other than U+0020."""
+    return "[" + _jclass(cp for cp in range(0x3001) if chr(cp).isspace() and cp != 0x20) + "]"
+
+
 @lru_cache(maxsize=None)
 def combining_class() -> str:
     """Characters with a non-zero canonical combining class (what an accent
@@ -58,7 +64,8 @@ NOT_WORD_AFTER = r"(?![\p{L}\p{N}_])"
 # Sentence boundary: after . ; or : and whitespace, before an ASCII capital or
 # digit.  (The abbreviation guard of the original splitter never fires, so the
 # parity splitter has none; ``protect_abbrev`` adds a working one.)
-SENT_SPLIT = r"(?<=[.;:]) (?=[A-Z0-9])"
+# The space comes first, so the look-behind runs at spaces only.
+SENT_SPLIT = r" (?<=[.;:] )(?=[A-Z0-9])"
 # The default of ``protect_abbrev``: short forms that a capital or number often follows.
 ABBREVIATIONS = ("approx.", "cf.", "ch.", "e.g.", "Eq.", "Fig.", "i.e.", "No.", "Ref.", "Sec.", "vs.")
 
@@ -93,12 +100,17 @@ def class_pattern(phrases) -> str:
     return "(?<![a-z])(?:" + "|".join(_lit(p) for p in phrases) + ")(?![a-z])"
 
 
+def _any_contained(c: Column, words) -> Column:
+    return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words], F.lit(False))
+
+
 def label_expr(c: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """First class (in rule order) with any phrase bounded by non-[a-z]."""
     low = F.lower(c)
     out = None
     for cls, phrases in lexicon.rules:
-        cond = low.rlike(class_pattern(phrases))
+        # the phrase's bytes are looked for first, which spares most rows the pattern
+        cond = _any_contained(low, phrases) & low.rlike(class_pattern(phrases))
         out = F.when(cond, F.lit(cls)) if out is None else out.when(cond, F.lit(cls))
     default = F.lit(lexicon.schema.default)
     return default if out is None else out.otherwise(default)
@@ -144,14 +156,45 @@ FEATURE_WORDS = {
 }
 
 
+# The characters beyond ASCII that the JVM takes for ASCII letters if case is ignored: i, i, s and k.
+CASED_AS_ASCII = ("\u0130", "\u0131", "\u017f", "\u212a")
+
+
 def _word_flag(c: Column, words) -> Column:
     pat = "(?iu)" + NOT_WORD_BEFORE + "(?:" + "|".join(_lit(w) for w in words) + ")" + NOT_WORD_AFTER
-    return c.rlike(pat).cast("int")
+    ascii_only = F.length(c) == F.octet_length(c)
+    # bytes are looked for first, which spares most rows the pattern; null stays null
+    maybe = _any_contained(F.lower(c), words) | (~ascii_only & _any_contained(c, CASED_AS_ASCII))
+    return F.when(~maybe, F.lit(0)).otherwise(c.rlike(pat).cast("int"))
+
+
+def _has_odd_whitespace(c: Column) -> Column:
+    return c.rlike(odd_whitespace())
 
 
 def word_count_expr(c: Column) -> Column:
     ws = whitespace_class()
-    return F.regexp_count(c, F.lit("[^" + ws[1:-1] + "]+")).cast("int")
+    counted = F.regexp_count(c, F.lit("[^" + ws[1:-1] + "]+")).cast("int")
+    # words that single spaces part are one more than the spaces
+    uneven = (c == F.lit("")) | c.startswith(" ") | c.endswith(" ") | F.contains(c, F.lit("  ")) | _has_odd_whitespace(c)
+    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return F.when(uneven, counted).otherwise((spaces + 1).cast("int"))
+
+
+def _chars_in_words(c: Column) -> Column:
+    return F.length(F.when(_has_odd_whitespace(c), F.regexp_replace(c, whitespace_class() + "+", ""))
+                    .otherwise(F.replace(c, F.lit(" "), F.lit(""))))
+
+
+def _digit_count(c: Column) -> Column:
+    some = c.rlike(r"\p{Nd}")
+    return F.when(~some, F.lit(0)).otherwise(F.regexp_count(c, F.lit(r"\p{Nd}"))).cast("int")
+
+
+def _acronym_count(c: Column) -> Column:
+    some = c.rlike("[A-Z][A-Z]")
+    counted = F.regexp_count(c, F.lit("(?=[A-Z][A-Z])" + NOT_WORD_BEFORE + "[A-Z]{2,}" + NOT_WORD_AFTER))
+    return F.when(~some, F.lit(0)).otherwise(counted).cast("int")
 
 
 def feature_columns(c: Column) -> dict[str, Column]:
@@ -159,11 +202,9 @@ def feature_columns(c: Column) -> dict[str, Column]:
     cols = {
         "char_len": F.length(c).cast("int"),
         "word_count": wc,
-        "avg_word_len": (F.length(F.regexp_replace(c, whitespace_class() + "+", ""))
-                         / F.greatest(wc, F.lit(1))).cast("double"),
-        "num_digits": F.regexp_count(c, F.lit(r"\p{Nd}")).cast("int"),
-        "num_acronyms": F.regexp_count(
-            c, F.lit(NOT_WORD_BEFORE + "[A-Z]{2,}" + NOT_WORD_AFTER)).cast("int"),
+        "avg_word_len": (_chars_in_words(c) / F.greatest(wc, F.lit(1))).cast("double"),
+        "num_digits": _digit_count(c),
+        "num_acronyms": _acronym_count(c),
     }
     for name, words in FEATURE_WORDS.items():
         cols[name] = _word_flag(c, words)
