@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FEATURES, feature_columns
 from ..schema import LabelSchema
+from ..session import stored
 
 
 def label_table(spark: SparkSession, schema: LabelSchema | None = None) -> DataFrame:
@@ -105,22 +106,24 @@ def label_corr_rank(feats: DataFrame) -> DataFrame:
 
 def length_box_by_class(feats: DataFrame, col: str = "word_count") -> DataFrame:
     """Box-plot data per class: quartiles (linear), 1.5·IQR whiskers (most
-    extreme values inside the fences) and the outlier count."""
-    q = (feats.groupBy("label")
-              .agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-              .select("label", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("q3")))
+    extreme values inside the fences) and the outlier count.  Rows are counted
+    by class and value in one pass over the texts; both steps read the counts."""
+    hist = stored(feats.groupBy("label", col).agg(F.count(F.lit(1)).alias("_n")), "lengths")
+    q = (hist.groupBy("label")
+             .agg(F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"))
+             .select("label", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
+                     F.col("_q")[2].alias("q3")))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     v = F.col(col)
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
     # q has one row per class: broadcast is bounded by the label schema.
-    stats = (feats.select("label", col).join(F.broadcast(q), "label")
+    stats = (hist.join(F.broadcast(q), "label")
              .groupBy("label", "q1", "median", "q3")
              .agg(F.min(F.when(inside, v)).alias("whisker_lo"),
                   F.max(F.when(inside, v)).alias("whisker_hi"),
-                  F.sum((~inside).cast("long")).alias("n_outliers"),
-                  F.count(F.lit(1)).alias("n")))
+                  F.sum((~inside).cast("long") * F.col("_n")).alias("n_outliers"),
+                  F.sum("_n").alias("n")))
     return stats.select("label", *[F.round(F.col(c).cast("double"), 6).alias(c)
                                    for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
                         "n_outliers", "n")
