@@ -18,12 +18,20 @@ from ..session import stored
 from .tfidf import TfidfModel
 
 
+def _bound(c: Column, f) -> Column:
+    """``f`` of a value that is computed once per row, however often ``f`` and the lambdas in it refer to it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Max-shifted softmax of an array column."""
-    m = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - m))
-    tot = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / tot)
+    def shifted(s):
+        return _bound(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m)))
+
+    def shares(e):
+        return _bound(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda tot: F.transform(e, lambda x: x / tot))
+
+    return _bound(_bound(scores, shifted), shares)
 
 
 def argmax(scores: Column) -> Column:
