@@ -148,7 +148,7 @@ def records(body_blocks: DataFrame, doc_cols: list[str], source: Column,
 # --------------------------------------------------------------------------- #
 # Markdown blocks
 # --------------------------------------------------------------------------- #
-MD_BLOCK_SPLIT = r"\n\s*\n|\n(?=\s*- |\d+\. |#|\|)"
+MD_BLOCK_SPLIT = r"\n(?:\s*\n|(?=\s*- |\d+\. |#|\|))"
 
 
 def md_blocks(df: DataFrame, key_cols: list[str], md_col: str = "markdown", page_break: str | None = None) -> DataFrame:
@@ -158,14 +158,15 @@ def md_blocks(df: DataFrame, key_cols: list[str], md_col: str = "markdown", page
     b = df.select(*key_cols, F.posexplode(F.split(F.col(md_col), MD_BLOCK_SPLIT)).alias("block_idx", "_b"))
     t = F.trim(F.col("_b"))
     btype = (F.when(t == F.lit(page_break), PAGE_BREAK)
-              .when(t.rlike(r"^#+ "), "section_header")
+              .when(t.startswith("#") & t.rlike(r"^#+ "), "section_header")
               .when(t.startswith("|"), "table")
-              .when(t.rlike(r"^(Figure|Table) \d+: "), "caption")
+              .when((t.startswith("Figure ") | t.startswith("Table ")) & t.rlike(r"^(Figure|Table) \d+: "), "caption")
               .when(t.startswith("- "), "list_item")
               .otherwise("text"))
     body = (F.when(btype == "section_header", F.regexp_replace(t, r"^#+ ", ""))
              .when(btype == "list_item", F.regexp_replace(t, r"^- (?:[a-z]\) )?", ""))
-             .otherwise(F.regexp_replace(t, r"^\d+\. ", "")))
+             # an anchored pattern is still tried at every place, so the first character is asked before
+             .otherwise(F.when(F.substring(t, 1, 1).between("0", "9"), F.regexp_replace(t, r"^\d+\. ", "")).otherwise(t)))
     text = unescape_md(collapse_ws(body))
     return (b.select(*key_cols, F.col("block_idx").cast("long").alias("block_idx"),
                      btype.alias("block_type"), text.alias("text"))

@@ -311,7 +311,8 @@ def q_section_carry(spark, sf_dir):
 def md_body(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     md = docs.select("doc_id", "source", X.markdown_from_lines(F.col("source"), F.col("text")).alias("markdown"))
-    return X.section_carry(X.md_blocks(md, ["doc_id", "source"]), ["doc_id"])
+    # both levels of the carry read the blocks, and extraction is the costly part
+    return X.section_carry(stored(X.md_blocks(md, ["doc_id", "source"]), "blocks"), ["doc_id"])
 
 
 @query("md_blocks", "WITH " + O.md_blocks_sql() + ", carried AS (\n" + O.carry_sql("md_nonempty", "doc_id") + """
@@ -341,7 +342,7 @@ from ..operators import evaluate as E  # noqa: E402
 from ..operators import models as M  # noqa: E402
 from ..operators import tfidf as T  # noqa: E402
 from ..operators import variants as V  # noqa: E402
-from ..session import cut_lineage  # noqa: E402
+from ..session import cut_lineage, stored  # noqa: E402
 
 # Query configuration: bigrams, sublinear tf, min_df 2, max_df 0.9.
 TFIDF_Q = T.TfidfParams(ngram_range=(1, 2), min_df=2, max_df=0.9, sublinear_tf=True)
