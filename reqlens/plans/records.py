@@ -125,7 +125,8 @@ def pool(spark, sf_dir):
 SELECT pool, doc, block_idx, sent_idx, text, page, section, block_type, source FROM pfirst""")
 def q_pooled_records(spark, sf_dir):
     """All records of the pool, each text once, where it first occurs."""
-    return D.dedup_first_by(pool(spark, sf_dir), POOL_KEYS).select(
+    # the records are read twice, for the first of each text and for its row
+    return D.dedup_first_by(stored(pool(spark, sf_dir), "records"), POOL_KEYS).select(
         *POOL_KEYS, "text", "page", "section", "block_type", "source")
 
 
@@ -141,6 +142,8 @@ SELECT pool, doc, block_idx, sent_idx, label, split FROM psplit""")
 def q_pooled_splits(spark, sf_dir):
     """Labels and splits of the pooled records, keyed by their place in the
     pool; cue prefixes stand in for the modal phrases that the texts lack."""
-    r = stored(q_pooled_records(spark, sf_dir), "pooled")
+    r = q_pooled_records(spark, sf_dir)
     cued = r.withColumn("text", F.concat(X.cue_prefix(F.col("doc"), F.col("sent_idx")), F.col("text")))
-    return D.stratified_split(D.with_labels(cued), POOL_KEYS).select(*POOL_KEYS, "label", "split")
+    # the split ranks keys and labels only, so the texts aren't stored and moved with them
+    labels = D.with_labels(cued).select(*POOL_KEYS, "label")
+    return D.stratified_split(labels, POOL_KEYS).select(*POOL_KEYS, "label", "split")
