@@ -158,8 +158,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SE
         enc = encoder(tokenizer)
         for b in batches:
             n, crcs, tails = [], [], []
-            for text in b.column(1):
-                ids = enc.document(text.as_py(), end_id)
+            for ids in enc.documents(b.column(1), end_id):
                 whole = len(ids) // size * size
                 n.append(len(ids))
                 crcs.append(np.array([crc32(ids[i:i + size]) for i in range(0, whole, size)], "<u4").tobytes())

@@ -164,11 +164,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, k, f = encoder(tokenizer), TaskContext.get().partitionId(), 0, None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            texts = enc.documents(b.column(1), end_id)
+            for doc_id, ids in zip(b.column(0).to_pylist(), texts, strict=True):
                 if f is None:
                     f = TaskFile(folder, f"ids-{part:06d}-{k:04d}", ".bin")
                     w = Writer(f.write, bits_for(enc.vocab_size), block_ids)
-                w.add(doc_id, enc.document(text.as_py(), end_id))
+                w.add(doc_id, ids)
                 if w.total >= file_ids:
                     w.close()
                     yield arrow_rows(made, [(f.commit(), part, k, len(w.docs), w.total)])

@@ -2,30 +2,35 @@
 
 The tokenizer lower-cases, drops white space and never joins what white space parts, so a text's ids are
 the ids of its words in a row. Words repeat, and so do the pieces that the pre-tokenizer cuts lower-cased
-words into; both are remembered within a bound of bytes. Plain Latin words are encoded by the file's own
-model, piece by piece, all others by the library's whole chain. ``tests/llm`` holds the result against the
-library on whole texts.
+words into. Texts are taken in runs of about RUN_BYTES: Arrow splits them, numbers the different words of
+the run, cuts plain Latin words into pieces and numbers those; pieces that are not remembered are encoded in
+one call of the file's own model. Words that are not plain go one by one through the library's whole chain.
+``tests/llm`` holds the result against the library on whole texts.
 
 Defined cases: a null text is empty and has no ids but the end id; a word of any length is encoded whole,
-and one longer than LONGEST_REMEMBERED bytes is not remembered.
+and a piece longer than LONGEST_REMEMBERED bytes is not remembered.
 """
 from __future__ import annotations
 
-import re
+import os
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Bytes of words and of pieces that a worker remembers at most, and what an entry takes besides its texts.
-WORD_BYTES, PIECE_BYTES, ENTRY_BYTES = 1 << 26, 1 << 24, 200
+#: Bytes of pieces that a worker remembers at most, and what an entry takes besides its texts.
+PIECE_BYTES, ENTRY_BYTES = 1 << 26, 200
 LONGEST_REMEMBERED = 1 << 10
+#: Bytes of texts whose words are numbered together, but for a single longer text.
+RUN_BYTES = 1 << 23
 
 END_ID = 1
 #: Words of printable ASCII and Latin-1 letters: neither the normaliser nor Unicode classes matter beyond lower().
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,26 +40,41 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Remembered(dict):
-    """Results of ``make`` by key within ``limit`` bytes. When half of them is used, what was found or made since
-    the last time is kept and the rest forgotten, so frequent keys stay."""
+class Remembered:
+    """Results by key within ``limit`` bytes. When half of them is used, what was found or added since the last
+    time is kept and the rest forgotten, so frequent keys stay."""
 
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.used, self.before = make, limit // 2, 0, {}
+    def __init__(self, limit: int):
+        self.limit, self.used, self.now, self.before = limit // 2, 0, {}, {}
 
-    def __missing__(self, key):
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        size = len(key) + len(value)
-        if size <= LONGEST_REMEMBERED:
-            if self.used > self.limit:
-                self.before, self.used = dict(self), 0
-                self.clear()
-            self[key] = value
-            self.used += size + ENTRY_BYTES
-        return value
+    def missing(self, keys: Iterable) -> list:
+        """Those of the keys that are not remembered; the others are kept for now."""
+        out = []
+        for key in keys:
+            if key not in self.now:
+                value = self.before.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    self.add(key, value)
+        return out
+
+    def add(self, key, value) -> None:
+        self.now[key] = value
+        self.used += len(key) + len(value) + ENTRY_BYTES
+
+    def forget(self) -> None:
+        """To be called when no result of ``missing`` is awaited any more."""
+        if self.used > self.limit:
+            self.before = {k: v for k, v in self.now.items() if len(k) + len(v) <= LONGEST_REMEMBERED}
+            self.now, self.used = {}, 0
+
+
+def _joined(items: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The items from each end to the next as one."""
+    at = np.frombuffer(items.buffers()[1], np.int64, len(items) + 1) if len(items) else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1,
+                                            [None, pa.py_buffer(at[ends]), items.buffers()[2] or pa.py_buffer(b"")])
 
 
 class WordEncoder:
@@ -62,39 +82,93 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
-        self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words = Remembered(self._word, WORD_BYTES)
-        self.pieces = Remembered(self._piece, PIECE_BYTES)
+        self.pieces = Remembered(PIECE_BYTES)
+        # the file's model on pieces that are cut already, one in each line
+        self.lines = Tokenizer(self.tokenizer.model)
+        self.lines.pre_tokenizer = Split("\n", "removed")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        #: whether an id ends a piece, by id
+        self.ends = np.zeros(self.vocab_size, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes() if len(ids) > 64 else array(self.dtype.char, ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return self._bytes([t.id for t in self.model.tokenize(shown)])
-
-    def _word(self, raw: bytes) -> bytes:
-        word = raw.decode("utf-8", "surrogatepass")
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(word.lower())))
+    def _learn(self, pieces: list[str]) -> None:
+        shown = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids = np.array(self.lines.encode_batch_fast(["\n".join(shown)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):  # ids that don't show where pieces end
+            for piece, line in zip(pieces, shown, strict=True):
+                self.pieces.add(piece, self._bytes([t.id for t in self.tokenizer.model.tokenize(line)]))
+            return
+        data, at = ids.tobytes(), 0
+        for piece, end in zip(pieces, (ends * self.dtype.itemsize).tolist(), strict=True):
+            self.pieces.add(piece, data[at:end])
+            at = end
+
+    def _plain(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of different plain words."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), _PIECES, "\\1 ")
+        cut = pc.split_pattern(pc.ascii_rtrim_whitespace(spaced), " ")
+        coded = cut.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if new := self.pieces.missing(pieces):
+            self._learn(new)
+        ids = pa.array([self.pieces.now[p] for p in pieces], pa.large_binary())
+        self.pieces.forget()
+        return _joined(ids.take(coded.indices), np.asarray(cut.offsets))
+
+    def _words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of different words."""
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|"))
+        others = words.filter(pc.invert(plain)).to_pylist()
+        ids = pa.array([self._bytes(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in others],
+                       pa.large_binary())
+        known, is_plain = self._plain(words.filter(plain)), np.asarray(plain)
+        at = np.where(is_plain, np.cumsum(is_plain) - 1, len(known) + np.cumsum(~is_plain) - 1)
+        return pa.concat_arrays([known, ids]).take(pa.array(at))
+
+    def _run(self, texts: pa.LargeStringArray) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        return _joined(ids, np.asarray(split.offsets)).to_pylist()
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: empty) without special tokens."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends, at = np.cumsum(np.asarray(pc.binary_length(texts))), 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+            yield from self._run(pa.concat_arrays([texts[at:end]]))
+            at = end
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: empty) without special tokens."""
-        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+        return next(self.encode_all(pa.array([text], pa.large_string())))
+
+    def documents(self, texts: pa.Array, end_id: int = END_ID) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id."""
+        end = np.array([end_id], self.dtype).tobytes()
+        for ids in self.encode_all(texts):
+            yield np.frombuffer(ids + end, self.dtype)
 
     def document(self, text: str | None, end_id: int = END_ID) -> np.ndarray:
         """The ids of a text and the end id."""
-        return np.frombuffer(self.encode(text) + np.array([end_id], self.dtype).tobytes(), self.dtype)
+        return next(self.documents(pa.array([text], pa.large_string()), end_id))
 
 
 @cache
 def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker."""
+    """One encoder per Python worker, which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordEncoder(path)
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -255,3 +256,22 @@ def test_windows_take_all_neighbours_of_a_seed():
     first = packing.pack(fragments, idf, 30.0, 2048)[0]
     assert [f for f, *_ in first][0] == 0 and sum(e - a for _, a, e in first) == 2048
     assert all(f <= 150 for f, *_ in first) and len(first) == 116
+
+
+def test_pieces_of_a_run_are_encoded_in_one_call(monkeypatch):
+    enc = wordbpe.WordEncoder(wordbpe.word_tokenizer())
+    given = ["One two, twos é9 don't", None, "", "two " * 50, "一二 x", "it's <|endoftext|> ÉTÉ\x0b\x1cz"] * 3
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in given]
+    calls = []
+    monkeypatch.setattr(enc, "_learn", lambda new, f=enc._learn: (calls.append(new), f(new)))
+    assert [x.tolist() for x in enc.documents(pa.array(given))] == want
+    assert len(calls) == 1 and len(set(calls[0])) == len(calls[0])
+    monkeypatch.setattr(wordbpe, "RUN_BYTES", 8)
+    assert [x.tolist() for x in enc.documents(pa.array(given)[1:])] == want[1:] and len(calls) == 1
+    # forgotten pieces, and ids that don't show where pieces end
+    enc.pieces = wordbpe.Remembered(1000)
+    assert [x.tolist() for x in enc.documents(pa.array(given))] == want
+    enc.ends[:] = False
+    enc.pieces = wordbpe.Remembered(1000)
+    assert [x.tolist() for x in enc.documents(pa.array(given))] == want
+    assert list(enc.documents(pa.array([], pa.string()))) == []
