@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from reqlens.llm.common import TaskFile, open_file, release, shuffle_partitions, stored, tidied, work_dir
+from reqlens.llm.common import TaskFile, mapped, open_file, release, shuffle_partitions, stored, work_dir
 
 SLICE_BYTES = 1 << 22
 BLOCK_BYTES = 1 << 25
@@ -60,7 +60,7 @@ def store_blocks(docs: DataFrame, *also: str) -> tuple[str, DataFrame]:
             ipc.close()
             f.commit()
 
-    return folder, stored(docs.mapInArrow(tidied(write), out), "places")
+    return folder, stored(mapped(docs, write, out), "places")
 
 
 def block_slices(folder: str, blocks: pa.Table) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import arrow_rows, stored, table, tidied
+from reqlens.llm.common import arrow_rows, mapped, stored, table
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -172,7 +172,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield arrow_rows(schema, [(i, *measure(t.as_py(), compress))
                                       for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)])
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), sql)
+    return mapped(docs.select("doc_id", "text"), run, sql)
 
 
 def learned_bands(measures: DataFrame, labels: DataFrame) -> Bands:
@@ -223,7 +223,7 @@ def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([judge(t.as_py(), compress, bands).kept for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

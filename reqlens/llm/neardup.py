@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.llm.blocks import packed_texts_of, store_blocks, without_rows
-from reqlens.llm.common import arrow_rows, release, remembered, stored, table, tidied
+from reqlens.llm.common import arrow_rows, mapped, release, remembered, stored, table, tidied
 
 SHINGLE = 5
 #: Sets are linked from this similarity on, in per cent; op5 states a limit of its own.
@@ -130,8 +130,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     rows = []
             yield arrow_rows(schema, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidied(run), "doc_id long, n_shingles long, key binary, sig binary, low binary")
+    return mapped(
+        docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, key binary, sig binary, low binary")
 
 
 def _token(sig: str, at: Column) -> Column:

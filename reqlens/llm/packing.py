@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import release, stored, table, tidied
+from reqlens.llm.common import mapped, release, stored, table
 from reqlens.llm.wordbpe import END_ID, encoder, word_tokenizer
 
 SEQUENCE = 2048
@@ -166,8 +166,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID, size: int = SE
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.binary()),
                                               pa.array(tails, pa.binary())], schema=schema)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(
-        tidied(run), "doc_id long, n_tokens long, crcs binary, tail binary"), "tails")
+    return stored(mapped(
+        docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, crcs binary, tail binary"), "tails")
 
 
 def statistics(tails: DataFrame, dtype: str, vocab: int) -> tuple[np.ndarray, float, int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import arrow_rows, stored, table, tidied
+from reqlens.llm.common import arrow_rows, mapped, stored, table
 
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
@@ -98,7 +98,7 @@ def train(docs: DataFrame) -> np.ndarray:
                     total[False] += transitions(text)
         yield arrow_rows(schema, [(kind, int(c), int(n[c])) for kind, n in total.items() for c in np.flatnonzero(n)])
 
-    cells = docs.select("text").mapInArrow(tidied(count), "random boolean, cell int, n long")
+    cells = mapped(docs.select("text"), count, "random boolean, cell int, n long")
     counts = np.zeros((2, SIZE * SIZE))
     for r in stored(cells.groupBy("random", "cell").agg(F.sum("n").alias("n")), "transitions").collect():
         counts[int(r["random"]), r["cell"]] = r["n"]
@@ -143,8 +143,8 @@ def scan(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 rows.append((doc_id, *n[:3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), n[3]))
             yield arrow_rows(schema, rows)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidied(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return mapped(
+        docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def mask(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -172,7 +172,7 @@ def mask(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                     b = b.set_column(n_at, b.schema.field(n_at), n)
             yield b
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

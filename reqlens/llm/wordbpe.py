@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 #: Bytes of pieces that a worker remembers at most, and what an entry takes besides its texts.
 PIECE_BYTES, ENTRY_BYTES = 1 << 26, 200
 LONGEST_REMEMBERED = 1 << 10
+#: Pieces that are encoded in one call.
+LEARNT = 1 << 13
 #: Bytes of texts whose words are numbered together, but for a single longer text.
 RUN_BYTES = 1 << 23
 
@@ -118,8 +120,9 @@ class WordEncoder:
         cut = pc.split_pattern(pc.ascii_rtrim_whitespace(spaced), " ")
         coded = cut.values.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if new := self.pieces.missing(pieces):
-            self._learn(new)
+        new = self.pieces.missing(pieces)
+        for at in range(0, len(new), LEARNT):  # the library takes some hundred bytes for each id of a call
+            self._learn(new[at:at + LEARNT])
         ids = pa.array([self.pieces.now[p] for p in pieces], pa.large_binary())
         self.pieces.forget()
         return _joined(ids.take(coded.indices), np.asarray(cut.offsets))

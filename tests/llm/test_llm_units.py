@@ -28,6 +28,17 @@ def test_word_encoder_equals_the_library():
     assert enc.encode(None) == enc.encode("") == b""
 
 
+def test_new_pieces_are_encoded_in_calls_of_bounded_size(monkeypatch):
+    enc, sizes = wordbpe.WordEncoder(wordbpe.word_tokenizer()), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces: (sizes.append(len(pieces)), learn(pieces)))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "xyz")
+    ids = np.frombuffer(enc.encode(text), enc.dtype).tolist()
+    assert ids == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(sizes) == 3 * 26 ** 3 and max(sizes) <= 1 << 13
+
+
 @pytest.mark.parametrize("bits", [1, 3, 11, 15, 16, 17, 32])
 def test_packed_ids_round_trip_and_random_access(bits):
     rnd = random.Random(bits)
