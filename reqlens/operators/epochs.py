@@ -7,8 +7,8 @@ best epoch can be restored and a stored run can go on where it stopped: the
 order of an epoch's batches depends on the seed, the epoch and the row keys
 only.
 
-Training is a bounded job over at most ``FIT_ROWS`` labelled vectors (the first
-in md5 order) in one task; scoring is a column expression over all rows.
+Training passes over all labelled vectors in one task, since a step follows the
+one before; scoring is a column expression over all rows.
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SEED
 from ..session import stored
-from .linear import FIT_ROWS, first_rows
+from .linear import first_rows
 from .models import argmax, softmax
 
 STATE_SQL = ("epoch int, step long, weights array<double>, first array<double>, second array<double>, "
@@ -74,7 +74,7 @@ def _one_epoch(x: np.ndarray, y: np.ndarray, s: np.ndarray, order: np.ndarray, k
 
 def train_epochs(train: DataFrame, val: DataFrame, keys: list[str], classes: list, epochs: int,
                  vec_col: str = "embedding", label_col: str = "label_id", how: Training = Training(),
-                 after: DataFrame | None = None, limit: int = FIT_ROWS) -> DataFrame:
+                 after: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """The states of epochs 1 … ``epochs``, one row each, stored.  ``after``
     holds the states of an earlier run of the same rows; its last epoch is
     continued and its rows are kept.  Rows without a label or a vector take no

@@ -1,6 +1,7 @@
 """Cross-validation, grid search, learning curves and linear models against
 small dense or row-by-row versions."""
 import hashlib
+import inspect
 import math
 import random
 from collections import Counter
@@ -282,6 +283,14 @@ def test_first_rows_bound_a_fit_and_nothing_else(spark):
     assert m.n_rows == 20 and m.predict(df, ["id"]).count() == 50
 
 
+def test_fits_read_all_rows_unless_fewer_are_asked_for(spark):
+    for f in (L.fit_linear, L.fit_rows, S.grid_scores, S.grid_search, S.model_selection, S.learning_curve,
+              S.embedding_model, EP.train_epochs):
+        assert inspect.signature(f).parameters["limit"].default is None, f.__name__
+    df = frame(spark, corpus(30, 3, seed=9))
+    assert L.first_rows(df, ["id"], None) is df and L.fit_linear(df, ["id"]).n_rows == 30
+
+
 # ---------------------------------------------------------------- epochs
 
 def vectors(spark, n=90, k=3, seed=5):
