@@ -14,6 +14,7 @@ from reqlens.operators import dataset as D
 from reqlens.operators import epochs as EP
 from reqlens.operators import linear as L
 from reqlens.operators import select as S
+from reqlens.operators import termfit as TF
 from reqlens.operators import tfidf as T
 from reqlens.operators import variants as V
 
@@ -291,6 +292,59 @@ def test_fits_read_all_rows_unless_fewer_are_asked_for(spark):
     assert L.first_rows(df, ["id"], None) is df and L.fit_linear(df, ["id"]).n_rows == 30
 
 
+@pytest.mark.parametrize("model,k", [("logreg", 3), ("linsvm", 3), ("linsvm", 2)])
+def test_a_fit_shared_by_tasks_equals_one_in_a_task(spark, monkeypatch, model, k):
+    rows, tasks, run = corpus(80, k, seed=3), [], TF.run_together
+    monkeypatch.setattr(TF, "run_together", lambda spark, n, *a: tasks.append(n) or run(spark, n, *a))
+    one = L.fit_linear(frame(spark, rows), ["id"], L.Spec(model=model))
+    monkeypatch.setattr(TF, "SHARD_ENTRIES", 40)
+    monkeypatch.setattr(L, "TASK_ENTRIES", 40)
+    many = L.fit_linear(frame(spark, rows), ["id"], L.Spec(model=model))
+    assert tasks == [1, 4]
+    a, b = ({r["term"]: (r["idf"], r["coef"]) for r in m.terms.collect()} for m in (one, many))
+    assert set(a) == set(b) and many.intercept == pytest.approx(one.intercept, abs=1e-4)
+    for t, (idf, coef) in a.items():
+        assert b[t][0] == pytest.approx(idf) and b[t][1] == pytest.approx(coef, abs=1e-4)
+
+
+def test_shards_are_kept_or_read_at_each_pass(spark, monkeypatch):
+    rows = corpus(50, 3, seed=4)
+    monkeypatch.setattr(TF, "SHARD_ENTRIES", 40)
+    data = L.fit_rows(frame(spark, rows), ["id"])
+    assert data.shards > 2
+    train = TF.read_rows(data.rows_path, data.n, ["y"])["y"] != 1
+    params = T.TfidfParams(ngram_range=(1, 2), min_df=1, sublinear_tf=True)
+    rnd, got = np.random.default_rng(1), []
+    for kept in (0, 1500, 1 << 20):
+        monkeypatch.setattr(TF, "CACHED_BYTES", kept)
+        shards = TF.Shards(data.shards_path, list(range(data.shards)))
+        assert bool(shards.later) == (kept < 1 << 20) and bool(shards.kept) == (kept > 0)
+        x = TF.Design(shards, train, params, TF.Alone())
+        w, r = rnd.random((x.height, 2)), rnd.random((2, data.n))
+        assert (x.dot(w) * r).sum() == pytest.approx((w * x.back(r)).sum())
+        y = np.arange(data.n) % 3
+        best, f = TF.fit(x, y, train, 3, "linsvm", 1.0, 1e-6)
+        assert np.allclose(x.dot(best), f)
+        coef = {t: (i, *c) for terms, idf, cs in x.coefficients(best) for t, i, c in zip(terms, idf, cs, strict=True)}
+        assert len(coef) == x.size
+        got.append(coef)
+    assert all(set(g) == set(got[0]) for g in got)
+    assert all(g[t] == pytest.approx(got[0][t], abs=1e-5) for g in got for t in g)
+
+
+def test_rows_that_share_a_key_have_the_terms_of_all_its_texts_and_those_without_a_key_none(spark):
+    rows = [(1, 0, "alpha beta beta"), (1, 1, "gamma"), (None, 0, "delta"), (2, 1, None), (3, None, "eps")]
+    data = L.fit_rows(spark.createDataFrame(rows, "id long, label_id int, text string"), ["id"])
+    shards = TF.Shards(data.shards_path, [0])
+    (s,), (terms,) = shards, shards.terms()
+    ys = TF.read_rows(data.rows_path, data.n, ["y"])["y"]
+    assert data.n == 4 and sorted(ys.tolist()) == [0, 0, 1, 1]
+    assert {t: (int(n), set(s.tf[a:b].tolist()), sorted(ys[s.rid[a:b]].tolist()))
+            for t, n, a, b in zip(terms, s.sizes, s.ends[:-1], s.ends[1:], strict=True)} == {
+        "alpha": (2, {1}, [0, 1]), "beta": (2, {2}, [0, 1]), "gamma": (2, {1}, [0, 1]),
+        "alpha beta": (2, {1}, [0, 1]), "beta beta": (2, {1}, [0, 1])}
+
+
 # ---------------------------------------------------------------- epochs
 
 def vectors(spark, n=90, k=3, seed=5):
