@@ -320,7 +320,7 @@ def test_shards_are_kept_or_read_at_each_pass(spark, monkeypatch):
         shards = TF.Shards(data.shards_path, list(range(data.shards)))
         assert bool(shards.later) == (kept < 1 << 20) and bool(shards.kept) == (kept > 0)
         x = TF.Design(shards, train, params, TF.Alone())
-        w, r = rnd.random((x.height, 2)), rnd.random((2, data.n))
+        w, r = rnd.random((2, x.height)), rnd.random((2, data.n))
         assert (x.dot(w) * r).sum() == pytest.approx((w * x.back(r)).sum())
         y = np.arange(data.n) % 3
         best, f = TF.fit(x, y, train, 3, "linsvm", 1.0, 1e-6)
