@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,6 +387,18 @@ def test_best_epoch_is_restored_and_scores_all_vectors(spark):
     assert sum(r["p"] == r["y"] for r in got.values() if r["y"] is not None) > 0.8 * len(rows)
 
 
+def test_vectors_are_read_batch_by_batch_as_numbers():
+    b = pa.record_batch({"key": ["a", "b", "c"], "y": [0, 1, 2], "part": pa.array([0, 1, 0], pa.int32()),
+                         "x": pa.array([[1, 2], [3, 4], [5, 6]], pa.list_(pa.float32()))})
+    names, y, own, x = EP._vectors(iter([b.slice(0, 1), b.slice(1, 0), b.slice(1)]))
+    assert (names, y.tolist(), own.tolist()) == (["a", "b", "c"], [0, 1, 2], [True, False, True])
+    assert x.dtype == np.float32 and x.tolist() == [[1, 2], [3, 4], [5, 6]]
+    assert EP._vectors(iter([]))[0] == []
+    uneven = pa.record_batch({**{c: b[c] for c in ("key", "y", "part")}, "x": pa.array([[1], [3, 4], [5, 6, 7]], pa.list_(pa.float32()))})
+    with pytest.raises(ValueError, match="unequal"):
+        EP._vectors(iter([uneven]))
+
+
 def sparse_rows(seed=3):
     rnd = np.random.default_rng(seed)
     counts = [np.sort(rnd.choice(90, rnd.integers(0, 9), replace=False)) for _ in range(30)]
