@@ -141,6 +141,21 @@ def test_nb_cv_equals_refitting_every_fold(spark):
         assert got[i] == pytest.approx(f1([r[1] for r in te], p), abs=2e-6)
 
 
+def test_rows_scored_by_their_own_variant_need_no_terms_of_a_single_row(spark):
+    rows, k = [(i, y, f"{t} only{i}") for i, y, t in corpus(60, 3, seed=7)], 3
+    f = D.kfold_assign(frame(spark, rows), ["id"], "label_id", k=k).withColumn(
+        "_tr", V.variant_bits([F.col("fold") != i for i in range(k)]))
+    nb = V.VariantNB(f, ["id"], "label_id", [0, 1, 2], k, also=("fold",))
+    own = {r["id"]: r for r in nb.score_own(list(range(k)), "fold").collect()}
+    every = {(r["id"], r["variant"]): r for r in nb.score_all(list(range(k))).collect()}
+    few, all_terms = ({r["term"] for r in m.select("term").collect()} for m in nb.models)
+    assert not any(t.startswith("only") for t in few) and few < all_terms and len(own) == len(rows)
+    for i, r in own.items():
+        assert r["scores"] == pytest.approx(every[(i, r["variant"])]["scores"])
+    nb.close()
+    assert not nb.models
+
+
 def test_learning_curve_uses_nested_samples_of_common_sizes(spark):
     rows, k = corpus(61, 3, seed=4), 3
     fold = folds_of(spark, rows, k)
